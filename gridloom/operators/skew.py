@@ -64,3 +64,31 @@ def _all(conditions: Sequence[Column]) -> Column:
     for c in conditions[1:]:
         out = out & c
     return out
+
+
+def weighted(rows: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The part of `table` that `rows` refer to, with the number of referring rows per key."""
+    known = rows
+    for k in on:
+        known = known.filter(F.col(k).isNotNull())
+    return known.groupBy(*on).agg(F.count("*").alias("n_refs")).join(table, list(on), "inner")
+
+
+#: an id list up to this length is sent to every executor
+LIST_ROWS = 100_000
+
+
+def without(rows: DataFrame, ids: DataFrame, on: str, keep: bool = False) -> DataFrame:
+    """Rows whose `on` is not (with `keep`: is) among `ids`, a frame with the one column `on`.
+
+    The list is counted up to LIST_ROWS; a short one is broadcast, a long one is looked up with
+    its row counts so that a heavy id does not end in one task.
+    """
+    ids = ids.select(on).distinct()
+    if ids.limit(LIST_ROWS + 1).count() <= LIST_ROWS:
+        return rows.join(F.broadcast(ids), on, "left_semi" if keep else "left_anti")
+    table = weighted(rows, ids.withColumn("_listed", F.lit(True)), (on,))
+    spread = (F.struct(*[F.col(c) for c in rows.columns]),)
+    marked = lookup(rows, table, (on,), ("_listed",), "n_refs", spread)
+    kept = F.col("_listed").isNotNull() if keep else F.col("_listed").isNull()
+    return marked.filter(kept).drop("_listed")

@@ -1,0 +1,53 @@
+"""Stage tables: Parquet partitioned by batch, rebuilt batch by batch."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.lineage import materialize
+
+PRESENT = "_present"
+#: rows of one batch per file, as a power of two of the row order
+FILE_BITS = 20
+MAX_FILE_ROWS = 1 << FILE_BITS
+
+
+def write_stage(rows: DataFrame, path: str, batch_ids: DataFrame, origin: str | None = None) -> None:
+    """Replace the stage's rows of the given batches; other batches stay untouched.
+
+    Every rebuilt batch also gets one marker row. It makes a batch that now has no rows replace
+    its old ones, and saves a pass over `rows` to find such batches. `origin` separates rows of
+    different stages in one table: a stage only rebuilds its own. Rows are shuffled by batch and
+    stretch of the row order, so a small batch is one file and a huge one many.
+    """
+    keys = ["batch_id"] + (["origin"] if origin else [])
+    body = rows.withColumn(PRESENT, F.lit(True))
+    marks = batch_ids.select("batch_id").distinct().withColumn(PRESENT, F.lit(False))
+    out = body.unionByName(marks, allowMissingColumns=True)
+    if origin:
+        out = out.withColumn("origin", F.lit(origin))
+    stretch = F.lit(0)
+    if "row_ord" in rows.columns:
+        stretch = F.coalesce(F.shiftright("row_ord", FILE_BITS), F.lit(0))
+    (
+        out.withColumn("_stretch", stretch).repartition("batch_id", "_stretch").drop("_stretch")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .option("maxRecordsPerFile", MAX_FILE_ROWS).partitionBy(*keys).parquet(path)
+    )
+
+
+def rewrite_stage(rows: DataFrame, path: str, batch_ids: DataFrame, origin: str | None = None) -> None:
+    """As `write_stage`, for rows computed from the very table they replace."""
+    write_stage(materialize(rows), path, batch_ids, origin)
+
+
+def append_stage(rows: DataFrame, path: str) -> None:
+    """Append-only tables (audit events)."""
+    rows.withColumn(PRESENT, F.lit(True)).write.mode("append").partitionBy("batch_id").parquet(path)
+
+
+def read_stage(spark: SparkSession, path: str) -> DataFrame:
+    # Batch ids are text even when they look like numbers or dates.
+    raw = spark.read.parquet(path)
+    return raw.filter(PRESENT).drop(PRESENT).withColumn("batch_id", F.col("batch_id").cast("string"))
