@@ -1,4 +1,8 @@
-"""Coercion of raw cell text into canonical values."""
+"""Coercion of cell text into canonical values.
+
+All functions take the cell as `cell_text` leaves it: trimmed, null for an absent or empty cell
+and '' for a cell of blanks only.
+"""
 
 from __future__ import annotations
 
@@ -18,45 +22,42 @@ _MONTH_NAMED = r"^([A-Za-z]{3})[a-z]* (\d{1,2}),? (\d{4})$"
 _DAY_NAMED = r"^(\d{1,2}) ([A-Za-z]{3})[a-z]* (\d{4})$"
 
 
-def to_number(c: Column) -> Column:
+def cell_text(c: Column) -> Column:
+    return F.when(c != "", full_trim(c))
+
+
+def to_number(text: Column) -> Column:
     """Keep digits, dots and minus signs, then read as a double.
 
     Text that leaves nothing reads as 0; text that leaves a malformed number is absent.
     """
-    kept = F.regexp_replace(c, r"[^0-9.\-]", "")
+    kept = F.regexp_replace(text, r"[^0-9.\-]", "")
     number = kept.try_cast("double")
-    return (
-        F.when(c.isNull() | (c == ""), None)
-        .when(kept == "", 0.0)
-        .when(kept.rlike(r"^-?(\d+\.?\d*|\.\d+)$") & (F.abs(number) < float("inf")), number)
+    return F.when(kept == "", 0.0).when(
+        kept.rlike(r"^-?(\d+\.?\d*|\.\d+)$") & (F.abs(number) < float("inf")), number
     )
 
 
-def to_email(c: Column) -> Column:
-    return F.when(c != "", F.lower(full_trim(c)))
-
-
-def to_text(c: Column) -> Column:
-    """Trimmed text; an empty cell is absent, a blank one becomes ''."""
-    return F.when(c != "", full_trim(c))
+def parse_date(text: Column) -> Column:
+    """UTC wall time of a date text, null when no accepted layout fits."""
+    def wall(c: Column) -> Column:
+        # Whole milliseconds; the clock may carry more digits.
+        return F.regexp_replace(c, r"(\.\d{3})\d+", "$1").try_cast("timestamp_ntz")
 
+    def day(c: Column) -> Column:
+        return F.try_to_date(c, "d MMM yyyy").cast("timestamp_ntz")
 
-def parse_date(c: Column) -> Column:
-    """UTC wall time of a date text, null when no accepted layout fits."""
-    text = F.regexp_replace(full_trim(c), r"(\.\d{3})\d+", "$1")  # whole milliseconds
-    iso = F.regexp_replace(F.regexp_replace(text, _MONTH_FIRST, "$3-$1-$2$4"),
-                           _YEAR_FIRST, "$1-$2-$3$4")
     instant = F.regexp_replace(text, r" ?([+-]\d{2}):?(\d{2})$", "$1:$2").try_cast("timestamp")
     zoned = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(
-        secs=F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1_000_000)
+        secs=F.floor(F.unix_micros(instant) / 1000).cast("decimal(20,0)") / F.lit(1000)
     )
-    written = F.regexp_replace(F.regexp_replace(text, _MONTH_NAMED, "$2 $1 $3"),
-                               _DAY_NAMED, "$1 $2 $3")
-    return F.coalesce(
-        F.when(iso.rlike(_ISO), iso.try_cast("timestamp_ntz")),
-        F.when(text.rlike(_ISO_ZONED), zoned),
-        F.when(written.rlike(_DAY_NAMED), F.try_to_date(written, "d MMM yyyy"))
-        .cast("timestamp_ntz"),
+    return (
+        F.when(text.rlike(_ISO), wall(text))
+        .when(text.rlike(_MONTH_FIRST), wall(F.regexp_replace(text, _MONTH_FIRST, "$3-$1-$2$4")))
+        .when(text.rlike(_YEAR_FIRST), wall(F.regexp_replace(text, _YEAR_FIRST, "$1-$2-$3$4")))
+        .when(text.rlike(_ISO_ZONED), zoned)
+        .when(text.rlike(_MONTH_NAMED), day(F.regexp_replace(text, _MONTH_NAMED, "$2 $1 $3")))
+        .when(text.rlike(_DAY_NAMED), day(F.regexp_replace(text, _DAY_NAMED, "$1 $2 $3")))
     )
 
 
@@ -69,16 +70,12 @@ def iso_text(ts: Column) -> Column:
     )
 
 
-def to_date_text(c: Column, parsed: Column) -> Column:
-    """ISO UTC text when the cell reads as a date, else the trimmed text unchanged."""
-    return F.when(c != "", F.coalesce(iso_text(parsed), full_trim(c)))
-
-
-def coerce(field: str, c: Column) -> Column:
+def coerce(field: str, text: Column, parsed: Column | None = None) -> Column:
+    """Canonical value of a field; `parsed` is a date field's text already parsed."""
     if field in NUMERIC_FIELDS:
-        return to_number(c)
+        return to_number(text)
     if field in EMAIL_FIELDS:
-        return to_email(c)
+        return F.lower(text)
     if field in DATE_FIELDS:
-        return to_date_text(c, parse_date(c))
-    return to_text(c)
+        return F.coalesce(iso_text(parse_date(text) if parsed is None else parsed), text)
+    return text

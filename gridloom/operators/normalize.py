@@ -12,8 +12,8 @@ from gridloom.fixed_values import (
     DATE_FIELDS, EMAIL_PATTERN, ENTITY_TYPES, FIELD_ALIASES, KEY_FIELDS, MSG_BAD_EMAIL, MSG_REQUIRED,
     MSG_TOO_SHORT, PRIORITY, VALIDATION_TEXT,
 )
-from gridloom.functions.coerce import coerce, iso_text, parse_date, to_date_text
-from gridloom.functions.text import blank_to_null, match_key, norm_header
+from gridloom.functions.coerce import cell_text, coerce, iso_text, parse_date
+from gridloom.functions.text import full_trim, match_key, norm_header
 
 
 def header_key(text: str) -> str:
@@ -40,23 +40,26 @@ def normalize(
     has_map = "columns" in extracted.columns
     cells = extracted.select(
         "batch_id", "sheet_index", "source_row_index", "entity_type", *keep,
-        *(["columns"] if has_map else []),
+        *(["columns", F.reverse(F.col("cells.value")).alias("_given")] if has_map else []),
         F.reverse(F.col("cells.header")).alias("_headers"),
-        F.reverse(F.col("cells.value")).alias("_values"),
+        F.transform(F.reverse(F.col("cells.value")), cell_text).alias("_values"),
     ).withColumn("_keys", F.transform("_headers", norm_header))
 
-    def cell(names: str, wanted: Column) -> Column:
+    def place(names: str, wanted: Column) -> Column:
         # A missing header gives position 0, hence index -1, hence null.
-        at = F.array_position(F.col(names), wanted).cast("int") - 1
-        return F.get(F.col("_values"), at)
+        return F.array_position(F.col(names), wanted).cast("int") - 1
 
     def raw(entity_type: str, field: str) -> Column:
-        hits = [blank_to_null(cell("_keys", F.lit(k))) for k in alias_keys(entity_type, field)]
-        by_alias = F.coalesce(*hits)
+        hits = [F.get("_values", place("_keys", F.lit(k))) for k in alias_keys(entity_type, field)]
+        by_alias = F.get(F.array_compact(F.array(*hits)), F.lit(0))
         if not has_map:
             return by_alias
         mapped = F.try_element_at(F.col("columns"), F.lit(field))
-        by_map = F.coalesce(cell("_headers", mapped), cell("_keys", norm_header(mapped)))
+        exact = place("_headers", mapped)
+        # An empty cell under the exact header is final; only a missing one falls through.
+        by_map = F.when(F.get("_given", exact).isNotNull(), F.get("_values", exact)).otherwise(
+            F.get("_values", place("_keys", norm_header(mapped)))
+        )
         return F.when(mapped != "", by_map).otherwise(by_alias)
 
     def raw_of(field: str) -> Column:
@@ -77,9 +80,7 @@ def normalize(
     def value(field: str) -> Column:
         if field not in used:
             return F.lit(None).cast(model.field_type(field))
-        if field in DATE_FIELDS:
-            return to_date_text(F.col(f"_raw_{field}"), F.col("_date"))
-        return coerce(field, F.col(f"_raw_{field}"))
+        return coerce(field, F.col(f"_raw_{field}"), F.col("_date") if field in DATE_FIELDS else None)
 
     data = F.struct(*[value(f).alias(f) for f in model.CANONICAL_FIELDS])
     ord_ = model.row_ord(F.col("sheet_index"), F.col("source_row_index"))
@@ -141,7 +142,8 @@ def _key(kind: str, entity_types: Sequence[str]) -> Column:
 
 
 def _key_date(entity_types: Sequence[str], parsed: Column | None) -> Column:
-    fields = {e: parsed if parsed is not None else parse_date(F.col(f"data.{KEY_FIELDS[e]['date']}"))
+    fields = {e: parsed if parsed is not None
+              else parse_date(full_trim(F.col(f"data.{KEY_FIELDS[e]['date']}")))
               for e in entity_types if "date" in KEY_FIELDS[e]}
     return _by_entity(fields) if fields else F.lit(None).cast("timestamp_ntz")
 
