@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.lineage import materialize
+from gridloom.operators.findings import find_duplicates
 from gridloom.operators.normalize import normalize
 
 _MONTH = "substr('JanFebMarAprMayJunJulAugSepOctNovDec', month(o_orderdate) * 3 - 2, 3)"
@@ -38,10 +40,6 @@ class Raw:
     row: str
     cells: dict[str, str]
 
-    @property
-    def source(self) -> str:
-        return self.table
-
     def sql(self) -> str:
         """The raw rows as a DuckDB query: batch_id, ord and one column per header."""
         cells = ", ".join(f'{e} AS "{h}"' for h, e in self.cells.items())
@@ -142,6 +140,12 @@ def canonical(spark: SparkSession, sf_dir: str, raw: Raw) -> DataFrame:
     )
 
 
+def guide_base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Canonical guides and their duplicate findings, each computed once."""
+    rows = materialize(canonical(spark, sf_dir, GUIDES))
+    return rows, materialize(find_duplicates(rows, one_key=True))
+
+
 # -- the same canonical rows in SQL, written out by hand per entity ---------------------------
 
 _BAD_MAIL = (

@@ -32,8 +32,7 @@ def _guides(spark, sf) -> DataFrame:
     return materialize(inp.canonical(spark, sf, inp.GUIDES))
 
 
-def _candidates(canonical: DataFrame) -> DataFrame:
-    found = findings.find_duplicates(canonical, one_key=True)
+def _candidates(canonical: DataFrame, found: DataFrame) -> DataFrame:
     own = findings.match_candidates(found)
     ord_ = F.split_part("record_id", F.lit(":"), F.lit(3)).cast("bigint")
     own = own.withColumn("status", F.when(ord_ % 2 == 0, "CONFIRMED").otherwise(F.col("status")))
@@ -43,9 +42,9 @@ def _candidates(canonical: DataFrame) -> DataFrame:
     return own.unionByName(known, allowMissingColumns=True)
 
 
-def _planned(spark, sf) -> tuple[DataFrame, DataFrame]:
-    canonical = _guides(spark, sf)
-    return canonical, materialize(publish.plan(canonical, _candidates(canonical)))
+def _planned(spark, sf, base: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    canonical, found = base or inp.guide_base(spark, sf)
+    return canonical, publish.plan(canonical, _candidates(canonical, found))
 
 
 @query("publish_plan", f"SELECT action_id, record_id, op, status, sequence, target_external_id, idempotency_key FROM ({_PLAN})")

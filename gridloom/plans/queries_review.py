@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.lineage import materialize
 from gridloom.operators import findings, normalize, publish, review
 from gridloom.plans import driver_inputs as inp
 from gridloom.plans.registry import query
@@ -18,7 +17,7 @@ _ITEMS = f"""
   FROM ({inp.items_sql(inp.guides_sql())})"""
 
 
-def _items(spark, sf, canonical: DataFrame, found: DataFrame) -> DataFrame:
+def _items(canonical: DataFrame, found: DataFrame) -> DataFrame:
     items = normalize.validation_items(canonical).unionByName(findings.review_items(found))
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     return items.withColumns({
@@ -28,8 +27,7 @@ def _items(spark, sf, canonical: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _guide_items(spark, sf) -> DataFrame:
-    canonical = inp.canonical(spark, sf, inp.GUIDES)
-    return _items(spark, sf, canonical, findings.find_duplicates(canonical, one_key=True))
+    return _items(*inp.guide_base(spark, sf))
 
 
 # Batches: every guide batch and some that have no items.
@@ -121,10 +119,9 @@ _RULED = f"""
     FROM applied WHERE resolution = 'REMAP' GROUP BY record_id)"""
 
 
-def _decided(spark, sf) -> review.Decided:
-    canonical = materialize(inp.canonical(spark, sf, inp.GUIDES))
-    found = materialize(findings.find_duplicates(canonical, one_key=True))
-    items = _items(spark, sf, canonical, found)
+def _decided(spark, sf, base: tuple[DataFrame, DataFrame] | None = None) -> review.Decided:
+    canonical, found = base or inp.guide_base(spark, sf)
+    items = _items(canonical, found)
     return review.decide(canonical, findings.match_candidates(found), items, _decisions(spark, sf))
 
 
