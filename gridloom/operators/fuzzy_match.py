@@ -34,6 +34,8 @@ REFINE_LEVELS = 3
 #: times a longer text can carry one piece of a segment in its window (k + 1 places)
 REPEATS = int(SEGMENT_MAX * (1.0 - FUZZY_THRESHOLD)) + 1
 BLOCK = 1_000
+NAMES_PER_PARTITION = 250
+MAX_PARTITIONS = 20_000
 
 
 def distinct_names(rows: DataFrame) -> DataFrame:
@@ -50,9 +52,10 @@ def earliest_similar(names: DataFrame) -> DataFrame:
     stats = names.agg(F.max(F.length("name")).alias("longest"), F.count("*").alias("n")).first()
     # Two sides of n names, the longer texts repeating a piece a few times: too few to crowd.
     roomy = stats["n"] ** 2 * REPEATS <= KEY_PAIRS
-    found = _segment_pairs(names, roomy)
+    parts = _join_partitions(names, stats["n"])
+    found = _segment_pairs(names, roomy, parts)
     if (stats["longest"] or 0) > SEGMENT_MAX:
-        found = found.unionByName(_gram_pairs(names, roomy))
+        found = found.unionByName(_gram_pairs(names, roomy, parts))
     best = found.groupBy("batch_id", "entity_type", "later_ord").agg(
         F.min("earlier_ord").alias("best_ord")
     )
@@ -65,6 +68,23 @@ def earliest_similar(names: DataFrame) -> DataFrame:
     )
 
 
+def _join_partitions(names: DataFrame, n: int) -> int:
+    """Partitions of the pair join: comparing texts costs far more than the bytes it reads.
+
+    Sizing by bytes, as the adaptive planner does, would leave the work to a few tasks.
+    """
+    cores = names.sparkSession.sparkContext.defaultParallelism
+    return max(cores, min(MAX_PARTITIONS, n // NAMES_PER_PARTITION))
+
+
+def _gram_bits(first: int) -> Column:
+    """Which letter pairs occur in a name, as 64 of 128 hashed bits."""
+    return F.expr(
+        "aggregate(transform(sequence(1, length(name) - 1), i -> pmod(xxhash64(substring(name, i, 2)), 128)),"
+        f" 0L, (acc, b) -> acc | if(b >= {first} and b < {first + 64}, shiftleft(1L, cast(b - {first} as int)), 0L))"
+    )
+
+
 def _verified(pairs: DataFrame) -> DataFrame:
     """Keep similar pairs; `a` is the shorter text. Emits the later and the earlier place."""
     longer = F.length("b_name")
@@ -80,10 +100,10 @@ def _verified(pairs: DataFrame) -> DataFrame:
 # -- segments ---------------------------------------------------------------------------
 
 
-def _segment_pairs(names: DataFrame, roomy: bool) -> DataFrame:
+def _segment_pairs(names: DataFrame, roomy: bool, parts: int) -> DataFrame:
     sized = names.select(
         "batch_id", "entity_type", "name", F.col("first_ord").alias("ord"),
-        F.length("name").alias("len"),
+        F.length("name").alias("len"), _gram_bits(0).alias("g0"), _gram_bits(64).alias("g1"),
     )
     length = F.col("len")
     reach = F.least(F.floor(length / FUZZY_THRESHOLD + 1e-6).cast("int"), F.lit(SEGMENT_MAX))
@@ -107,13 +127,13 @@ def _segment_pairs(names: DataFrame, roomy: bool) -> DataFrame:
         short, long = _cut(short, probe=False), _cut(long, probe=True)
         crowded = None if roomy else _crowded(short, long)
         if crowded is None:
-            pairs = _join(short, long, ["sig"])
+            pairs = _join(short, long, ["sig"], parts)
         elif level < REFINE_LEVELS:
             short, short_cold = _split(short, crowded)
             long, long_cold = _split(long, crowded)
-            pairs = _join(short_cold, long_cold, ["sig"])
+            pairs = _join(short_cold, long_cold, ["sig"], parts)
         else:
-            pairs = _grid_join(short, long, crowded)
+            pairs = _grid_join(short, long, crowded, parts)
         checked = _verified(pairs)
         out = checked if out is None else out.unionByName(checked)
         if crowded is None:
@@ -150,7 +170,7 @@ def _cut(texts: DataFrame, probe: bool) -> DataFrame:
     around = F.concat(F.substring("rest", F.lit(1), F.col("_at")),
                       F.substring("rest", F.col("_at") + F.col("_len") + 1, F.length("rest")))
     return cut.select(
-        "batch_id", "entity_type", "name", "ord", "long_len", "short_len", "k",
+        "batch_id", "entity_type", "name", "ord", "g0", "g1", "long_len", "short_len", "k",
         F.xxhash64("sig", "_i", piece).alias("sig"), around.alias("rest"),
     )
 
@@ -179,20 +199,28 @@ def _mark(texts: DataFrame, crowded: DataFrame) -> DataFrame:
                        weight="n_rows", spread_by=(F.col("name"), F.col("ord")))
 
 
-def _join(short: DataFrame, long: DataFrame, on: list[str]) -> DataFrame:
-    a = short.select(*on, "batch_id", "entity_type", F.col("name").alias("a_name"),
-                     F.col("ord").alias("a_ord"), F.col("short_len").alias("a_len"))
-    b = long.select(*on, F.col("batch_id").alias("b_batch"), F.col("entity_type").alias("b_type"),
-                    F.col("name").alias("b_name"), F.col("ord").alias("b_ord"),
-                    F.col("long_len").alias("b_len"))
-    return a.join(b, on, "inner").filter(
-        (F.col("batch_id") == F.col("b_batch")) & (F.col("entity_type") == F.col("b_type"))
+def _join(short: DataFrame, long: DataFrame, on: list[str], parts: int) -> DataFrame:
+    def side(rows: DataFrame, p: str, size: str) -> DataFrame:
+        bits = ["g0", "g1"] if "g0" in rows.columns else []
+        own = ["batch_id", "entity_type", "name", "ord", *bits]
+        return rows.select(
+            *on, *[F.col(c).alias(f"{p}_{c}") for c in own], F.col(size).alias(f"{p}_len")
+        ).repartition(parts, *on)
+
+    pairs = side(short, "a", "short_len").join(side(long, "b", "long_len"), on, "inner").filter(
+        (F.col("a_batch_id") == F.col("b_batch_id")) & (F.col("a_entity_type") == F.col("b_entity_type"))
         # Texts of equal length meet in both roles; one of the two is enough.
         & ((F.col("a_len") < F.col("b_len")) | (F.col("a_ord") < F.col("b_ord")))
     )
+    if "a_g0" in pairs.columns:
+        # An edit takes away or adds at most four letter pairs: a cheap test before the real one.
+        differing = (F.bit_count(F.col("a_g0").bitwiseXOR(F.col("b_g0")))
+                     + F.bit_count(F.col("a_g1").bitwiseXOR(F.col("b_g1"))))
+        pairs = pairs.filter(differing <= 4 * edit_budget(F.col("b_len")))
+    return pairs.withColumnsRenamed({"a_batch_id": "batch_id", "a_entity_type": "entity_type"})
 
 
-def _grid_join(short: DataFrame, long: DataFrame, crowded: DataFrame) -> DataFrame:
+def _grid_join(short: DataFrame, long: DataFrame, crowded: DataFrame, parts: int) -> DataFrame:
     """Join with each crowded signature cut into blocks of about BLOCK names on both sides.
 
     A block of one side meets every block of the other, each meeting in its own task, so the
@@ -209,13 +237,13 @@ def _grid_join(short: DataFrame, long: DataFrame, crowded: DataFrame) -> DataFra
 
     a = _mark(short, crowded).withColumn("_x", own("n_short")).withColumn("_y", every("n_long"))
     b = _mark(long, crowded).withColumn("_y", own("n_long")).withColumn("_x", every("n_short"))
-    return _join(a, b, ["sig", "_x", "_y"])
+    return _join(a, b, ["sig", "_x", "_y"], parts)
 
 
 # -- grams ------------------------------------------------------------------------------
 
 
-def _gram_pairs(names: DataFrame, roomy: bool) -> DataFrame:
+def _gram_pairs(names: DataFrame, roomy: bool, parts: int) -> DataFrame:
     """Similar pairs whose longer text exceeds SEGMENT_MAX characters.
 
     A pair with longer length L shares at least L(1 - 0.15 q) - q + 1 grams of q letters.
@@ -257,7 +285,7 @@ def _gram_pairs(names: DataFrame, roomy: bool) -> DataFrame:
     short = keyed.withColumns({"short_len": F.col("len"), "long_len": F.col("len")})
     long = short.filter(length > SEGMENT_MAX)
     crowded = None if roomy else _crowded(short, long)
-    pairs = _join(short, long, ["sig"]) if crowded is None else _grid_join(short, long, crowded)
+    pairs = _join(short, long, ["sig"], parts) if crowded is None else _grid_join(short, long, crowded, parts)
     close = F.col("b_len") - F.col("a_len") <= edit_budget(F.col("b_len"))
     # One comparison per pair, however many grams it shares.
     once = pairs.filter(close).dropDuplicates(["batch_id", "entity_type", "a_ord", "b_ord"])

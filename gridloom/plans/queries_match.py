@@ -17,7 +17,7 @@ _FINDING = ["record_id", "entity_type", "strategy", "score", "reason", "peer_rec
 
 
 def found(spark, sf, raw: inp.Raw) -> DataFrame:
-    return findings.find_duplicates(inp.canonical(spark, sf, raw), one_key=True)
+    return findings.find_duplicates(materialize(inp.canonical(spark, sf, raw)), one_key=True)
 
 
 def _check(records: str) -> str:
