@@ -49,7 +49,7 @@ def readiness(batches: DataFrame, items: DataFrame) -> DataFrame:
 def open_by_reason(row: DataFrame) -> Column:
     """The by-reason counts of a readiness row as a map without zero entries."""
     entries = F.array_compact(F.array(*[
-        F.when(row[f"open_{r.lower()}"] > 0, F.struct(F.lit(r), row[f"open_{r.lower()}"]))
+        F.when(row[f"open_{r.lower()}"] > 0, F.struct(F.lit(r).alias("reason"), row[f"open_{r.lower()}"].alias("n")))
         for r in REVIEW_REASONS
     ]))
     return F.map_from_entries(entries)

@@ -21,7 +21,7 @@ def lookup(
     take: Sequence[str],
     weight: str,
     spread_by: Sequence[Column],
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Left join `rows` to `table` (unique on `on`), adding the columns `take`.
 
@@ -31,7 +31,7 @@ def lookup(
     whole heavy key.
     """
     hot = (
-        table.filter(F.col(weight) > hot_rows)
+        table.filter(F.col(weight) > (HOT_ROWS if hot_rows is None else hot_rows))
         .orderBy(F.col(weight).desc(), *[F.col(k) for k in on])
         .limit(HOT_KEYS)
         .select(*[F.col(k).alias(f"_h_{k}") for k in on],
