@@ -9,8 +9,11 @@ found through exact-equality keys that lose nothing:
 * longer texts: similar texts share most of their three-letter grams, so their rarest grams
   overlap (prefix filtering; Chaudhuri, Ganti, Kaushik, ICDE 2006).
 
-A key shared by too many names is refined by segments of the text left around it, and what is
-still crowded after that is split into a grid of bounded blocks.
+Only the earliest similar name counts, so a key shared by too many names is not compared pair by
+pair: its names first meet the earliest few of them, and whoever found a peer there is done with
+that key. Where many names stay open the key is refined by segments of the text left around it;
+after the last refinement the early part grows step by step. Work on one key is cut into blocks
+spread over many tasks, and every comparison that could matter is made.
 """
 
 from __future__ import annotations
@@ -28,9 +31,12 @@ SEGMENT_MAX = 64
 GRAM = 3
 #: grams ranked as common; the list is broadcast, so it is bounded
 COMMON_GRAMS = 4_096
-#: a key compares at most this many pairs in one place, otherwise it is refined or split
+#: a key with more pairs than this is crowded
 KEY_PAIRS = 4_000_000
-REFINE_LEVELS = 3
+REFINE_LEVELS = 2
+#: names a crowded key starts with, and how fast that part grows
+EARLY = 256
+GROWTH = 8
 #: times a longer text can carry one piece of a segment in its window (k + 1 places)
 REPEATS = int(SEGMENT_MAX * (1.0 - FUZZY_THRESHOLD)) + 1
 BLOCK = 1_000
@@ -122,22 +128,33 @@ def _segment_pairs(names: DataFrame, roomy: bool, parts: int) -> DataFrame:
     start = F.xxhash64("batch_id", "entity_type", "long_len", "short_len")
     short = short.withColumns({"sig": start, "rest": F.col("name")})
     long = long.withColumns({"sig": start, "rest": F.col("name")})
-    out = None
+    found = []
     for level in range(REFINE_LEVELS + 1):
         short, long = _cut(short, probe=False), _cut(long, probe=True)
         crowded = None if roomy else _crowded(short, long)
         if crowded is None:
-            pairs = _join(short, long, ["sig"], parts)
-        elif level < REFINE_LEVELS:
-            short, short_cold = _split(short, crowded)
-            long, long_cold = _split(long, crowded)
-            pairs = _join(short_cold, long_cold, ["sig"], parts)
-        else:
-            pairs = _grid_join(short, long, crowded, parts)
-        checked = _verified(pairs)
-        out = checked if out is None else out.unionByName(checked)
-        if crowded is None:
+            found.append(_verified(_join(short, long, ["sig"], parts)))
+            break
+        short, cold_short = _split(short, crowded)
+        long, cold_long = _split(long, crowded)
+        found.append(_verified(_join(cold_short, cold_long, ["sig"], parts)))
+        short, long = materialize(short), materialize(long)
+        if level == REFINE_LEVELS:
+            found += _climb(short, long, crowded, parts)
+            break
+        found.append(_meet(short, long, None, 0, 0, parts))
+        best = _best(found[-1])
+        left = _left_over(short, long, best)
+        few = left.filter(F.col("todo") <= KEY_PAIRS)
+        last = _steps(crowded)
+        found.append(_meet(_under(short, few), _under(long, few), best, 1, last, parts))
+        many = left.filter(F.col("todo") > KEY_PAIRS)
+        if many.isEmpty():
             break
+        short, long = _under(short, many), _under(long, many)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
     return out
 
 
@@ -176,27 +193,99 @@ def _cut(texts: DataFrame, probe: bool) -> DataFrame:
 
 
 def _crowded(short: DataFrame, long: DataFrame) -> DataFrame | None:
-    """Signatures with more than KEY_PAIRS pairs and their sizes; None when there are none."""
+    """Signatures with more than KEY_PAIRS pairs, their sizes and the span of their places."""
     sizes = (
-        short.select("sig", F.lit(1).alias("_s"), F.lit(0).alias("_l"))
-        .unionAll(long.select("sig", F.lit(0), F.lit(1)))
-        .groupBy("sig").agg(F.sum("_s").alias("n_short"), F.sum("_l").alias("n_long"))
+        short.select("sig", "ord", F.lit(1).alias("_s"), F.lit(0).alias("_l"))
+        .unionAll(long.select("sig", "ord", F.lit(0), F.lit(1)))
+        .groupBy("sig").agg(F.sum("_s").alias("n_short"), F.sum("_l").alias("n_long"),
+                            F.min("ord").alias("lo"), F.max("ord").alias("hi"))
         .filter(F.col("n_short") * F.col("n_long") > KEY_PAIRS)
         .withColumn("n_rows", F.col("n_short") + F.col("n_long"))
     )
     return None if sizes.isEmpty() else materialize(sizes)
 
 
+_SIZES = ("n_short", "n_long", "lo", "hi", "n_rows")
+
+
 def _split(texts: DataFrame, crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows under crowded signatures and the others."""
-    marked = _mark(texts, crowded)
-    return (marked.filter("n_rows is not null").drop("n_short", "n_long", "n_rows"),
-            marked.filter("n_rows is null").drop("n_short", "n_long", "n_rows"))
+    """The rows under crowded signatures, with the sizes, and the others."""
+    marked = skew.lookup(texts, crowded, on=("sig",), take=_SIZES, weight="n_rows",
+                         spread_by=(F.col("name"), F.col("ord")))
+    return marked.filter("n_rows is not null"), marked.filter("n_rows is null").drop(*_SIZES)
+
+
+def _steps(crowded: DataFrame) -> int:
+    """The step at which the early part of the largest crowd is all of it."""
+    size, step = crowded.agg(F.max("n_rows")).first()[0], 0
+    while EARLY * GROWTH ** step < size:
+        step += 1
+    return step
+
+
+def _until(step: int) -> Column:
+    """First place behind the early part: its share of the crowd's span of places.
+
+    Places stand in for ranks, so no crowd has to be sorted; an uneven spread costs balance only.
+    """
+    if step < 0:
+        return F.col("lo")
+    share = F.least(F.lit(1.0), F.lit(float(EARLY * GROWTH ** step)) / F.col("n_rows"))
+    return F.col("lo") + F.floor((F.col("hi") - F.col("lo") + 1) * share)
+
+
+def _open(texts: DataFrame, best: DataFrame | None, step: int) -> DataFrame:
+    """Rows that may still find an earlier peer at or behind the start of the step."""
+    start = _until(step - 1)
+    rows = texts.filter(F.col("ord") > start)
+    if best is None:
+        return rows
+    own = ["batch_id", "entity_type"]
+    known = best.withColumnRenamed("later_ord", "ord")
+    return rows.join(known, [*own, "ord"], "left").filter(
+        F.col("best_ord").isNull() | (F.col("best_ord") > start)
+    ).drop("best_ord")
+
+
+def _meet(short: DataFrame, long: DataFrame, best: DataFrame | None, first: int, last: int,
+          parts: int) -> DataFrame:
+    """Similar pairs whose earlier name lies in the steps `first` to `last` of its crowd."""
+    early = (F.col("ord") >= _until(first - 1)) & (F.col("ord") < _until(last))
+    size = F.least(F.col("n_rows"), F.lit(EARLY * GROWTH ** last))
+    one = _grid_join(short.filter(early), _open(long, best, first), size, F.col("n_long"), parts)
+    two = _grid_join(_open(short, best, first), long.filter(early), F.col("n_short"), size, parts)
+    return materialize(
+        _verified(one.filter("a_ord < b_ord")).unionByName(_verified(two.filter("b_ord < a_ord")))
+    )
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    return materialize(pairs.groupBy("batch_id", "entity_type", "later_ord").agg(
+        F.min("earlier_ord").alias("best_ord")))
 
 
-def _mark(texts: DataFrame, crowded: DataFrame) -> DataFrame:
-    return skew.lookup(texts, crowded, on=("sig",), take=("n_short", "n_long", "n_rows"),
-                       weight="n_rows", spread_by=(F.col("name"), F.col("ord")))
+def _climb(short: DataFrame, long: DataFrame, crowded: DataFrame, parts: int) -> list[DataFrame]:
+    """Let the early part grow until it is the whole crowd."""
+    found, best = [], None
+    for step in range(_steps(crowded) + 1):
+        found.append(_meet(short, long, best, step, step, parts))
+        seen = found[0]
+        for more in found[1:]:
+            seen = seen.unionByName(more)
+        best = _best(seen)
+    return found
+
+
+def _left_over(short: DataFrame, long: DataFrame, best: DataFrame) -> DataFrame:
+    """Per crowded signature the pairs its open rows still ask for after the first step."""
+    todo = _open(short, best, 1).select("sig", "n_rows", F.col("n_long").alias("_n")).unionAll(
+        _open(long, best, 1).select("sig", "n_rows", F.col("n_short")))
+    return materialize(todo.groupBy("sig").agg(F.sum("_n").alias("todo"), F.max("n_rows").alias("weight")))
+
+
+def _under(texts: DataFrame, signatures: DataFrame) -> DataFrame:
+    return skew.lookup(texts, signatures, on=("sig",), take=("todo",), weight="weight",
+                       spread_by=(F.col("name"), F.col("ord"))).filter("todo is not null").drop("todo")
 
 
 def _join(short: DataFrame, long: DataFrame, on: list[str], parts: int) -> DataFrame:
@@ -220,23 +309,23 @@ def _join(short: DataFrame, long: DataFrame, on: list[str], parts: int) -> DataF
     return pairs.withColumnsRenamed({"a_batch_id": "batch_id", "a_entity_type": "entity_type"})
 
 
-def _grid_join(short: DataFrame, long: DataFrame, crowded: DataFrame, parts: int) -> DataFrame:
-    """Join with each crowded signature cut into blocks of about BLOCK names on both sides.
+def _grid_join(short: DataFrame, long: DataFrame, n_short: Column, n_long: Column, parts: int) -> DataFrame:
+    """Join with each signature cut into blocks of about BLOCK rows on both sides.
 
-    A block of one side meets every block of the other, each meeting in its own task, so the
-    comparison is whole and no signature lands in one place.
+    A block of one side meets every block of the other, each meeting under its own join key, so
+    the comparison is whole and no signature lands in one task.
     """
-    def blocks(n: str) -> Column:
-        return F.coalesce(F.ceil(F.col(n) / BLOCK), F.lit(1))
+    def blocks(n: Column) -> Column:
+        return F.ceil(n / BLOCK).cast("bigint")
 
-    def own(n: str) -> Column:
+    def own(n: Column) -> Column:
         return F.pmod(F.xxhash64("name", "ord"), blocks(n))
 
-    def every(n: str) -> Column:
+    def every(n: Column) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), blocks(n) - 1))
 
-    a = _mark(short, crowded).withColumn("_x", own("n_short")).withColumn("_y", every("n_long"))
-    b = _mark(long, crowded).withColumn("_y", own("n_long")).withColumn("_x", every("n_short"))
+    a = short.withColumn("_x", own(n_short)).withColumn("_y", every(n_long))
+    b = long.withColumn("_y", own(n_long)).withColumn("_x", every(n_short))
     return _join(a, b, ["sig", "_x", "_y"], parts)
 
 
@@ -285,8 +374,16 @@ def _gram_pairs(names: DataFrame, roomy: bool, parts: int) -> DataFrame:
     short = keyed.withColumns({"short_len": F.col("len"), "long_len": F.col("len")})
     long = short.filter(length > SEGMENT_MAX)
     crowded = None if roomy else _crowded(short, long)
-    pairs = _join(short, long, ["sig"], parts) if crowded is None else _grid_join(short, long, crowded, parts)
+    climbed = []
+    if crowded is not None:
+        hot_short, short = _split(short, crowded)
+        hot_long, long = _split(long, crowded)
+        climbed = _climb(materialize(hot_short), materialize(hot_long), crowded, parts)
     close = F.col("b_len") - F.col("a_len") <= edit_budget(F.col("b_len"))
     # One comparison per pair, however many grams it shares.
-    once = pairs.filter(close).dropDuplicates(["batch_id", "entity_type", "a_ord", "b_ord"])
-    return _verified(once)
+    once = _join(short, long, ["sig"], parts).filter(close).dropDuplicates(
+        ["batch_id", "entity_type", "a_ord", "b_ord"])
+    out = _verified(once)
+    for more in climbed:
+        out = out.unionByName(more)
+    return out

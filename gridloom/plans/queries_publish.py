@@ -169,9 +169,8 @@ _AFTER = f"""
 def _ledger(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Booking records, their actions before sending, and what the sender reports."""
     canonical = materialize(inp.canonical(spark, sf, inp.BOOKINGS))
-    none = canonical.select("record_id", F.lit(None).cast("string").alias("target_kind"),
-                            F.lit(None).cast("string").alias("target_external_id"),
-                            F.lit(None).cast("string").alias("status")).limit(0)
+    none = spark.createDataFrame(
+        [], "record_id string, target_kind string, target_external_id string, status string")
     ord_ = F.split_part("record_id", F.lit(":"), F.lit(3)).cast("bigint")
     old = (F.col("batch_id") == "B4") & (ord_ % 3 == 0)
     failed = (F.col("batch_id") == "B3") & (ord_ % 5 == 0)

@@ -48,12 +48,14 @@ def test_sets_equal_row_by_row(spark, monkeypatch, pairs, block, hot):
     if pairs:
         monkeypatch.setattr(fuzzy_match, "KEY_PAIRS", pairs)
         monkeypatch.setattr(fuzzy_match, "BLOCK", block)
+        monkeypatch.setattr(fuzzy_match, "EARLY", block)
+        monkeypatch.setattr(fuzzy_match, "GROWTH", 4)
     if hot:
         monkeypatch.setattr(skew, "HOT_ROWS", hot)
-    rows = random_rows(7 + (pairs or 0))
+    rows = random_rows(7 + (pairs or 0), batches=2 if pairs else 4)
     names = SCHEMA.replace(" string", "").replace(" bigint", "").split(", ")
     want = duplicates_by_hand([dict(zip(names, r)) for r in rows])
-    assert sum(v[1] == "name_fuzzy" for v in want.values()) > 40
+    assert sum(v[1] == "name_fuzzy" for v in want.values()) > 10
     assert matched(spark.createDataFrame(rows, SCHEMA)) == want
 
 
