@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.fixed_values import ALLOWED_FROM, PUBLISH_OPS
 from gridloom.functions.publishing import idempotency_key, payload_json
+from gridloom.operators import skew
 from gridloom.operators.review import open_counts
 
 #: rows numbered together; a chunk of the packed row order holds at most 2^16 rows
@@ -96,8 +97,7 @@ def plan(canonical: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def replan(actions: DataFrame, planned: DataFrame) -> DataFrame:
     """Actions after a preview: PLANNED rows of the previewed batches are rebuilt, others stay."""
-    previewed = planned.select("batch_id").distinct()
-    stale = actions.filter("status = 'PLANNED'").join(previewed, "batch_id", "left_anti")
+    stale = skew.without(actions.filter("status = 'PLANNED'"), planned, "batch_id")
     return actions.filter("status <> 'PLANNED'").unionByName(stale).unionByName(planned)
 
 

@@ -9,6 +9,7 @@ from gridloom.fixed_values import (
     ALIAS_CONFIDENCE, DIRECT_CONFIDENCE, ENTITY_TYPES, FIELD_ALIASES,
 )
 from gridloom.functions.text import norm_header
+from gridloom.operators import skew
 from gridloom.operators.normalize import header_key
 from gridloom.operators.resolve import entity_by_name
 
@@ -57,10 +58,11 @@ def suggest_mapping(sheets: DataFrame) -> DataFrame:
 def scope_hint(sheets: DataFrame) -> DataFrame:
     """Keep an entity hint only where the file has a single sheet."""
     counts = sheets.groupBy("source_file").agg(F.count("*").alias("_n"))
-    return (
-        sheets.join(counts, "source_file")
-        .withColumn("entity_hint", F.when(F.col("_n") == 1, F.col("entity_hint")))
-        .select(*sheets.columns)
+    spread = (F.struct(*[F.col(c) for c in sheets.columns]),)
+    known = skew.lookup(sheets, counts.withColumn("_one", F.col("_n") == 1), on=("source_file",),
+                        take=("_one",), weight="_n", spread_by=spread)
+    return known.withColumn("entity_hint", F.when(F.col("_one"), F.col("entity_hint"))).select(
+        *sheets.columns
     )
 
 
