@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, packing, spotsigs
+from gridloom.llm import bpe, chat, packing, parity_join, spotsigs
 from gridloom.plans.registry import query
 
 
@@ -56,6 +56,30 @@ def spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
         spotsigs.likeness(F.col("own_set"), F.col("next_set")).alias("near_next"))
 
 
+# words per document, their n-grams, pairs of distinct sets that share one, and the groups by recursion
+_JACCARD_SQL = r"""
+    WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                 ELSE list_distinct(list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i+3], ' '))) END AS g FROM d),
+    sets AS (SELECT min(doc_id) AS id, list_sort(g) AS g FROM s WHERE len(g) > 0 GROUP BY list_sort(g)),
+    grams AS (SELECT id, len(g) AS n, unnest(g) AS x FROM sets),
+    counts AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c
+               FROM grams a JOIN grams b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id),
+    links AS (SELECT a, b FROM counts WHERE 100 * c >= 85 * (n + m - c)),
+    both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    reach AS (SELECT id AS a, id AS b FROM sets UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+    named AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a)
+    SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(n.component, s.doc_id) AS component_id
+    FROM s LEFT JOIN sets t ON list_sort(s.g) = t.g LEFT JOIN named n ON n.id = t.id"""
+
+
+@query("op3_parity_sketch_join", _JACCARD_SQL)
+def parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = parity_join.similar(_table(spark, sf_dir, "documents"), words=4, percent=85)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 @query("op4_best_fit_packing", None)
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
