@@ -32,6 +32,8 @@ COMMON_WORDS = (
 )
 #: Content words in a signature.
 CHAIN = 3
+#: Stands for a null id.
+_NO_ID = -(1 << 63)
 _WORD = r"[\p{L}\p{N}]"
 
 
@@ -119,10 +121,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    """_id, _h (hash of the text) and _n (its length) beside the columns."""
+    """text, _id, _h (hash of the text) and _n (its length)."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
-        "doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"),
+        text.alias("text"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"),
         F.xxhash64(text).alias("_h"), F.length(text).cast("long").alias("_n"))
 
 
@@ -155,15 +157,16 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_chars, text, edited, own_set, edited_set, next_set.
     """
     keyed = _keys(docs)
-    here = keyed.withColumn("own_set", signatures(F.col("text"))).join(_previous(keyed), ["_id", "_h"])
+    # read twice with the same columns, so that Spark deals the texts out once
+    dealt = keyed.select("_id", "_h", "text", signatures(F.col("text")).alias("own_set"))
     # the beginning of each text goes to the document that stands before it
-    heads = here.select(
+    heads = dealt.join(_previous(keyed), ["_id", "_h"]).select(
         F.col("_before_id").alias("_id"), F.col("_before_h").alias("_h"),
         F.struct(F.left("text", F.col("_taken")).alias("head"), F.col("own_set").alias("set")).alias("_next"),
     ).groupBy("_id", "_h").agg(F.first("_next").alias("_next"))
-    kept = F.col("_n") - F.floor(F.col("_n") / 3)
-    both = here.join(heads, ["_id", "_h"]).select(
-        "doc_id", F.col("_n").alias("n_chars"), "text",
-        F.concat(F.left("text", kept.cast("int")), F.col("_next.head")).alias("edited"),
+    n = F.length("text").cast("long")
+    both = dealt.join(heads, ["_id", "_h"]).select(
+        F.nullif("_id", F.lit(_NO_ID)).alias("doc_id"), n.alias("n_chars"), "text",
+        F.concat(F.left("text", (n - F.floor(n / 3)).cast("int")), F.col("_next.head")).alias("edited"),
         "own_set", F.col("_next.set").alias("next_set"))
     return both.withColumn("edited_set", signatures(F.col("edited")))
