@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, packing, parity_join, spotsigs
+from gridloom.llm import bpe, chat, fuzzy_lines, packing, parity_join, repeated_spans, spotsigs
 from gridloom.plans.registry import query
 
 
@@ -103,8 +103,9 @@ _CHAT_SQL = f"""
 @query("op5_chat_round_trip", _CHAT_SQL)
 def chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    planted = spark.createDataFrame(
-        [(-1, 0, "user", _PLANTED), (-1, 1, "assistant", _PLANTED)], rows.schema)
+    planted = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_PLANTED).alias("text"))
     made = chat.format_conversations(rows.unionByName(planted))
     turns, loss = chat.parse(F.col("formatted")), chat.under_loss(F.col("formatted"), F.col("loss"))
     line = F.lit("\n")
@@ -118,6 +119,20 @@ def chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query("op7_repeated_spans", None)
+def repeated_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_spans.repeated_spans(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("_gl_row.id").alias("doc_id"), "span_begin", "span_end", "first_ids")
+
+
+@query("op8_fuzzy_lines", None)
+def fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines"))
+    kept = fuzzy_lines.dedup_lines(docs)
+    return kept.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), "removed_lines",
+                       F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("op9_bpe_round_trip", None)
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
