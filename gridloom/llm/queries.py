@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, fuzzy_lines, packing, parity_join, repeated_spans, spotsigs
+from gridloom.llm import bpe, chat, fuzzy_lines, packing, parity_join, repeated_spans, spotsigs, toxicity
 from gridloom.plans.registry import query
 
 
@@ -138,3 +138,11 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.json")
     return bpe.round_trip(docs, path).select("doc_id", "round_trip.*")
+
+
+@query("op10_toxicity_chain", None)
+def toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = toxicity.fit(docs, labels, ["low_quality", "toxic"])
+    return toxicity.score(docs, chain).select("doc_id", "toxicity.*")
