@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, fuzzy_lines, packing, parity_join, repeated_spans, spotsigs, toxicity
+from gridloom.llm import bpe, chat, fuzzy_lines, multi_index, packing, parity_join, repeated_spans, secrets, spotsigs, toxicity
 from gridloom.plans.registry import query
 
 
@@ -14,6 +14,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_secret_scan", None)
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select(F.col("_gl_row.id").alias("doc_id"), "place", F.sha2("value", 256).alias("value_sha256"),
+                        F.length("value").alias("length"), "probability")
+
+
 _ANCHORS = ", ".join(f"'{w}'" for w in spotsigs.COMMON_WORDS)
 
 # words with their place, content words with a number of their own, then each anchor's chain
@@ -119,6 +126,27 @@ def chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+_VECTORS_SQL = """
+    WITH RECURSIVE good AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+        WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+              ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+              WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+    reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    named AS (SELECT a, min(b) AS component FROM reach GROUP BY a),
+    counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT v.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, n.component AS component_id, v.vec_id = n.component AS kept
+    FROM embeddings v JOIN named n ON n.a = v.vec_id LEFT JOIN counted c ON c.a = v.vec_id"""
+
+
+@query("op6_inverted_multi_index", _VECTORS_SQL)
+def inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = multi_index.near_vectors(_table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
 @query("op7_repeated_spans", None)
 def repeated_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_spans.repeated_spans(_table(spark, sf_dir, "documents"))
