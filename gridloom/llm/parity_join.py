@@ -234,3 +234,18 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
     found = digests.join(named_sets, ["n", "h1", "h2"], "left")
     return found.select("id", F.col("n").alias("n_shingles"),
                         F.when(F.col("n") > 0, F.least("component", "id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
+                    text: str = "text") -> DataFrame:
+    """The documents without those linked to one with a smaller id. Of rows with that smallest id one
+    stays, whichever; rows without words and rows with a null id all stay."""
+    groups = similar(docs, words, percent, id_col, text)
+    go = groups.where("id <> component_id").select("id").distinct()
+    kept = docs.join(go, docs[id_col] == go["id"], "left_anti")
+    # rows that repeat an id: only where there are any, and only those travel
+    again = materialize(groups.where("n_shingles > 0 AND id IS NOT NULL").groupBy("id").count().where("count > 1").select("id"))
+    if again.isEmpty():
+        return kept
+    single = kept.join(again, kept[id_col] == again["id"], "left_anti")
+    return single.union(kept.join(again, kept[id_col] == again["id"], "left_semi").dropDuplicates([id_col]))
