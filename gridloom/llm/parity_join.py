@@ -238,8 +238,8 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
 
 def first_of_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
                     text: str = "text") -> DataFrame:
-    """The documents without those linked to one with a smaller id. Of rows with that smallest id one
-    stays, whichever; rows without words and rows with a null id all stay."""
+    """The documents without those linked to one with a smaller id. Of rows equal in id and text one
+    stays; other texts under an id that stays, rows without words and rows with a null id all stay."""
     groups = similar(docs, words, percent, id_col, text)
     go = groups.where("id <> component_id").select("id").distinct()
     kept = docs.join(go, docs[id_col] == go["id"], "left_anti")
@@ -248,4 +248,4 @@ def first_of_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     if again.isEmpty():
         return kept
     single = kept.join(again, kept[id_col] == again["id"], "left_anti")
-    return single.union(kept.join(again, kept[id_col] == again["id"], "left_semi").dropDuplicates([id_col]))
+    return single.union(kept.join(again, kept[id_col] == again["id"], "left_semi").dropDuplicates([id_col, text]))
