@@ -75,14 +75,14 @@ TRAVELERS = Raw(
 GUIDES = Raw(
     "supplier", "GUIDE", "concat('G', s_nationkey % 3)", "s_suppkey",
     {
-        "Guide Name": "concat(substr(s_name, 1, 8), ' Mountain Tours ', s_suppkey % 30)",
+        "Guide Name": "concat(s_name, ' Mountain Tours ', s_suppkey % 30)",
         "mail": "CASE WHEN s_suppkey % 9 = 4 THEN 'office@tours.example'"
                 " WHEN s_suppkey % 5 = 0 THEN ''"
                 " ELSE concat('guide', s_suppkey, '@tours.example') END",
     },
 )
 BOOKINGS = Raw(
-    "orders", "BOOKING", "concat('B', substr(o_orderpriority, 1, 1))", "o_orderkey",
+    "orders", "BOOKING", "concat('B', o_orderpriority)", "o_orderkey",
     {
         "Booking Ref": "CASE WHEN o_orderkey % 25 = 5 THEN concat('BK-', o_orderkey - o_orderkey % 100)"
                        " ELSE concat('bk-', o_orderkey) END",

@@ -14,7 +14,7 @@ from gridloom.plans import queries_publish as qp
 from gridloom.plans import queries_review as qr
 from gridloom.plans.pipeline import Store
 from gridloom.plans.registry import query
-from gridloom.sources.csv_files import batch_of_file
+from gridloom.sources.csv_files import batch_of_file, read_csv
 from gridloom.streaming.landing import watch_csv
 
 _PAGE = "SELECT concat('o', o_orderkey) AS id, o_orderdate AS created_at, o_orderstatus FROM orders"
@@ -214,3 +214,33 @@ def landed_files(spark, sf):
         F.count("*").alias("n"), F.lit(0).cast("bigint").alias("invalid"),
         F.countDistinct("batch_id").alias("batches"))
     return records.unionByName(pairs)
+
+
+# A line per supplier: empty cells at the start, in the middle and at the end, nothing but empty cells,
+# rows too short and too long, blank lines, line breaks, commas and quotes inside quotes.
+_CSV_LINE = """CASE s_suppkey % 9 WHEN 0 THEN concat('s', s_suppkey, ',,', s_suppkey) WHEN 1 THEN concat(',n', s_suppkey, ', 1 ')
+    WHEN 2 THEN concat('s', s_suppkey, ',n,') WHEN 3 THEN ',,' WHEN 4 THEN concat('s', s_suppkey)
+    WHEN 5 THEN concat('s', s_suppkey, ',n,1,beyond') WHEN 6 THEN concat(chr(10), '   ', chr(10), 's,n,', s_suppkey)
+    WHEN 7 THEN concat('"two', chr(10), 'lines', s_suppkey, '",,') ELSE concat('"a ""b"", ', s_suppkey, '",n,""') END"""
+_CSV_CELLS = """CASE s_suppkey % 9 WHEN 0 THEN ['s' || s_suppkey, '', s_suppkey::VARCHAR] WHEN 1 THEN ['', 'n' || s_suppkey, '1']
+    WHEN 2 THEN ['s' || s_suppkey, 'n', ''] WHEN 3 THEN ['', '', ''] WHEN 4 THEN ['s' || s_suppkey, NULL, NULL]
+    WHEN 5 THEN ['s' || s_suppkey, 'n', '1'] WHEN 6 THEN ['s', 'n', s_suppkey::VARCHAR]
+    WHEN 7 THEN ['two' || chr(10) || 'lines' || s_suppkey, '', ''] ELSE ['a "b", ' || s_suppkey, 'n', ''] END"""
+
+
+@query("csv_cells", f"""
+  SELECT file, source_row_index, unnest(['sku', 'name', 'price']) AS header, unnest(cells) AS value
+  FROM (SELECT s_nationkey::BIGINT AS file, {_CSV_CELLS} AS cells,
+               row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS source_row_index FROM supplier)""")
+def csv_cells(spark, sf):
+    """The suppliers written as raw CSV text and read back cell by cell."""
+    root = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
+    lines = inp.table(spark, sf, "supplier").select(
+        F.col("s_nationkey").alias("file"), F.col("s_suppkey").alias("ord"), F.expr(_CSV_LINE).alias("line"))
+    heads = lines.select("file", F.lit(-1).alias("ord"), F.lit("sku,name,price").alias("line")).distinct()
+    (heads.unionByName(lines).repartition("file").sortWithinPartitions("file", "ord").drop("ord")
+     .write.partitionBy("file").text(root))
+    rows = read_csv(spark, f"{root}/*/*.txt")
+    return rows.select(
+        F.regexp_extract("source_file", "file=([0-9]+)", 1).cast("bigint").alias("file"), "source_row_index",
+        F.inline("cells"))

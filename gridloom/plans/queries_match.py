@@ -108,18 +108,18 @@ def similar_customers(spark, sf):
     return _names(spark.sql(_CUSTOMERS))
 
 
-def _passages(strip: str) -> str:
-    plain = strip.format(e="lower(text)")
-    return (f"SELECT 'all' AS batch_id, item_id * 2 AS row_ord, {plain} AS key_name FROM benchmark"
-            f" UNION ALL SELECT 'all', item_id * 2 + 1, concat(substr({plain}, 1, 20), 'zz',"
-            f" substr({plain}, 25)) FROM benchmark")
+# The check's edit distance counts bytes, so every letter beyond ASCII is spelled by one capital of its own.
+_SPELLED = "translate(lower(text), 'äöüßéèêçñóíáúàâîôûëïùœæ', 'ABCDEFGHIJKLMNOPQRSTUVW')"
+_PASSAGES = (f"SELECT 'all' AS batch_id, item_id * 2 AS row_ord, {_SPELLED} AS key_name FROM benchmark"
+             f" UNION ALL SELECT 'all', item_id * 2 + 1, concat(substr({_SPELLED}, 1, 20), 'zz',"
+             f" substr({_SPELLED}, 25)) FROM benchmark")
 
 
-@query("similar_passages", _names_check(_passages("regexp_replace({e}, '[^ -~]', '', 'g')")))
+@query("similar_passages", _names_check(_PASSAGES))
 def similar_passages(spark, sf):
     """Whole passages next to edited copies: long texts, found by rare grams."""
     inp.table(spark, sf, "benchmark").createOrReplaceTempView("benchmark")
-    return _names(spark.sql(_passages("regexp_replace({e}, '[^ -~]', '')")))
+    return _names(spark.sql(_PASSAGES))
 
 
 @query("similarity", """

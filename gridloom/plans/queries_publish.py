@@ -141,19 +141,19 @@ def rollback_latest(spark, sf):
 
 # -- outcomes ---------------------------------------------------------------------------------
 
-# Bookings as planned actions. In batch B1 one action fails, in B2 none, in B3 several,
-# in B4 one was committed before and the sender stopped halfway, in B5 nothing was sent.
+# Bookings as planned actions. In the urgent batch one action fails, in the high one none, in the medium one several,
+# in the unspecified one some were committed before and the sender stopped halfway, in the low one nothing was sent.
 _ACTIONS = f"""
   SELECT batch_id, ord, record_id, 'BOOKING' AS entity_type, 'CREATE' AS op,
     concat(record_id, ':CREATE') AS action_id, concat(batch_id, ':', record_id, ':CREATE') AS idempotency_key,
     row_number() OVER (PARTITION BY batch_id ORDER BY ord) - 1 AS sequence,
-    CASE WHEN batch_id = 'B4' AND ord % 3 = 0 THEN 'COMMITTED' WHEN batch_id = 'B3' AND ord % 5 = 0 THEN 'FAILED'
+    CASE WHEN batch_id = 'B4-NOT SPECIFIED' AND ord % 3 = 0 THEN 'COMMITTED' WHEN batch_id = 'B3-MEDIUM' AND ord % 5 = 0 THEN 'FAILED'
       ELSE 'PLANNED' END AS status,
-    CASE WHEN batch_id = 'B4' AND ord % 3 = 0 THEN concat('old-', ord) END AS result_external_id,
-    CASE WHEN batch_id = 'B3' AND ord % 5 = 0 THEN 'earlier' END AS error
+    CASE WHEN batch_id = 'B4-NOT SPECIFIED' AND ord % 3 = 0 THEN concat('old-', ord) END AS result_external_id,
+    CASE WHEN batch_id = 'B3-MEDIUM' AND ord % 5 = 0 THEN 'earlier' END AS error
   FROM ({inp.bookings_sql()})"""
-_SENT = "((batch_id IN ('B1','B2','B3') OR (batch_id = 'B4' AND ord % 100 < 50)) AND status IN ('PLANNED','FAILED'))"
-_BAD = "((batch_id = 'B1' AND ord % 1000 > 990) OR (batch_id = 'B3' AND ord % 700 > 690))"
+_SENT = "((batch_id IN ('B1-URGENT','B2-HIGH','B3-MEDIUM') OR (batch_id = 'B4-NOT SPECIFIED' AND ord % 100 < 50)) AND status IN ('PLANNED','FAILED'))"
+_BAD = "((batch_id = 'B1-URGENT' AND ord % 1000 > 990) OR (batch_id = 'B3-MEDIUM' AND ord % 700 > 690))"
 _EXTERNAL = "CASE WHEN ord % 4 = 0 THEN concat('given-', ord) END"
 _AFTER = f"""
   WITH a AS (SELECT *, {_SENT} AS sent, {_BAD} AS bad FROM ({_ACTIONS})),
@@ -172,8 +172,8 @@ def _ledger(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     none = spark.createDataFrame(
         [], "record_id string, target_kind string, target_external_id string, status string")
     ord_ = F.split_part("record_id", F.lit(":"), F.lit(3)).cast("bigint")
-    old = (F.col("batch_id") == "B4") & (ord_ % 3 == 0)
-    failed = (F.col("batch_id") == "B3") & (ord_ % 5 == 0)
+    old = (F.col("batch_id") == "B4-NOT SPECIFIED") & (ord_ % 3 == 0)
+    failed = (F.col("batch_id") == "B3-MEDIUM") & (ord_ % 5 == 0)
     actions = materialize(publish.plan(canonical, none).withColumns({
         "ord": ord_,
         "status": F.when(old, "COMMITTED").when(failed, "FAILED").otherwise(F.col("status")),
@@ -195,10 +195,15 @@ def work_set(spark, sf):
     return publish.work_set(_ledger(spark, sf)[1]).select("action_id", "sequence")
 
 
-@query("unplanned_batches", f"""SELECT DISTINCT concat('B', c_custkey % 9) AS batch_id FROM customer
-  WHERE concat('B', c_custkey % 9) NOT IN (SELECT batch_id FROM ({_ACTIONS}))""")
+# batches of every order priority, and as many more that nobody planned
+_ASKED = ("CASE c_custkey % 9 WHEN 1 THEN 'B1-URGENT' WHEN 2 THEN 'B2-HIGH' WHEN 3 THEN 'B3-MEDIUM'"
+          " WHEN 4 THEN 'B4-NOT SPECIFIED' WHEN 5 THEN 'B5-LOW' ELSE concat('B', c_custkey % 9) END")
+
+
+@query("unplanned_batches", f"""SELECT DISTINCT {_ASKED} AS batch_id FROM customer
+  WHERE {_ASKED} NOT IN (SELECT batch_id FROM ({_ACTIONS}))""")
 def unplanned_batches(spark, sf):
-    batches = inp.table(spark, sf, "customer").select(F.expr("concat('B', c_custkey % 9)").alias("batch_id")).distinct()
+    batches = inp.table(spark, sf, "customer").select(F.expr(_ASKED).alias("batch_id")).distinct()
     return publish.unplanned(batches, _ledger(spark, sf)[1])
 
 
@@ -390,7 +395,7 @@ def orphan_references(spark, sf):
 _SNAPSHOT = """
   SELECT 'GUIDE' AS entity_type, concat('x', s_suppkey) AS external_id,
     CASE WHEN s_suppkey % 3 = 0 THEN concat('GUIDE', s_suppkey, '@tours.example') END AS email,
-    CAST(NULL AS STRING) AS code, CASE WHEN s_suppkey % 4 = 0 THEN concat('SUPPLIER MOUNTAIN TOURS ', s_suppkey % 40) END AS name
+    CAST(NULL AS STRING) AS code, CASE WHEN s_suppkey % 4 = 0 THEN concat(upper(s_name), ' MOUNTAIN TOURS ', s_suppkey % 40) END AS name
   FROM supplier"""
 
 

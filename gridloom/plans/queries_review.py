@@ -91,8 +91,9 @@ _DECISION_COLUMNS = """
     concat('user', user_id) AS resolved_by, ts AS decided_at,
     CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN concat('rec', event_id) END AS target_record_id,
     CASE WHEN event_type = 'error' THEN concat('ext', event_id) END AS target_external_id"""
-# A decision names the row with the user's number in the batch that supplier is in.
-_LOG = "(SELECT e.*, s_nationkey AS n FROM events e JOIN supplier ON s_suppkey = user_id) AS log"
+# A decision names the row with the user's number in the batch that supplier is in; a user who is no
+# supplier names a row that isn't there.
+_LOG = "(SELECT e.*, coalesce(s_nationkey, 0) AS n FROM events e LEFT JOIN supplier ON s_suppkey = user_id) AS log"
 _DECISIONS = f"SELECT {_DECISION_COLUMNS}, concat('Guide ', event_id) AS new_name FROM {_LOG}"
 
 

@@ -12,8 +12,7 @@ from gridloom.sources import csv_files
 
 def watch_csv(
     spark: SparkSession, landing: str, store: Store, checkpoint: str,
-    mappings: DataFrame | None = None, multi_line: bool = True,
-    max_columns: int = csv_files.MAX_COLUMNS, files_per_trigger: int = 10_000,
+    mappings: DataFrame | None = None, multi_line: bool = True, files_per_trigger: int = 10_000,
 ) -> StreamingQuery:
     """Ingest all new CSV files of the folder and stop.
 
@@ -22,11 +21,11 @@ def watch_csv(
     again after a failure writes the same rows to the same places.
     """
     def run(scan: DataFrame, _: int) -> None:
-        staged = materialize(csv_files.tokens(scan, max_columns))
-        ingest(csv_files.rows_of(staged), store, mappings)
+        staged = materialize(csv_files.tokens(scan))
+        ingest(csv_files.rows_of(staged), store, mappings, csv_files.sheets_of(staged))
 
     return (
-        csv_files.stream_csv(spark, landing, multi_line, max_columns, files_per_trigger)
+        csv_files.stream_csv(spark, landing, multi_line, files_per_trigger)
         .writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -22,7 +22,7 @@ def test_csv_files_with_different_headers(spark, tmp_path, multi_line):
     (tmp_path / "b.csv").write_text('email,fullName,email\nx@y.com,"Ann ""A"" Lee",z@y.com\n')
     (tmp_path / "c.csv").write_text("only,header\n")
     (tmp_path / "d.csv").write_text("")
-    got = by_file(csv_files.read_csv(spark, str(tmp_path), multi_line, max_columns=8).collect())
+    got = by_file(csv_files.read_csv(spark, str(tmp_path), multi_line).collect())
     assert [r.source_row_index for r in got["a.csv"]] == [0, 1, 2]
     assert [cells(r) for r in got["a.csv"]] == [
         [("sku", "S1"), ("name", "Trek one")],
@@ -35,7 +35,7 @@ def test_csv_files_with_different_headers(spark, tmp_path, multi_line):
 
 def test_csv_quoted_line_break(spark, tmp_path):
     (tmp_path / "a.csv").write_text('name,note\nx,"two\nlines"\ny,z\n')
-    got = csv_files.read_csv(spark, str(tmp_path), max_columns=4).orderBy("source_row_index").collect()
+    got = csv_files.read_csv(spark, str(tmp_path)).orderBy("source_row_index").collect()
     assert [cells(r) for r in got] == [[("name", "x"), ("note", "two\nlines")], [("name", "y"), ("note", "z")]]
 
 
@@ -45,17 +45,39 @@ def test_csv_rows_keep_their_place_across_splits(spark, tmp_path):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
     try:
-        rows = csv_files.read_csv(spark, str(tmp_path), multi_line=False, max_columns=4)
+        rows = csv_files.read_csv(spark, str(tmp_path), multi_line=False)
         bad = rows.filter(F.col("source_row_index").cast("string") != F.col("cells")[0]["value"])
         assert rows.count() == n and bad.isEmpty()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
-def test_csv_wider_than_the_schema_is_an_error(spark, tmp_path):
-    (tmp_path / "w.csv").write_text("a,b,c,d\n1,2,3,4\n")
-    with pytest.raises(Exception, match="more columns"):
-        csv_files.read_csv(spark, str(tmp_path), max_columns=3).collect()
+def test_csv_of_500_columns(spark, tmp_path):
+    wide = [f"h{i}" for i in range(500)]
+    (tmp_path / "w.csv").write_text(",".join(wide) + "\n" + ",".join(map(str, range(500))) + "\n")
+    (tmp_path / "n.csv").write_text("a\n1\n")
+    got = by_file(csv_files.read_csv(spark, str(tmp_path)).collect())
+    assert cells(got["w.csv"][0]) == [(f"h{i}", str(i)) for i in range(500)]
+    assert cells(got["n.csv"][0]) == [("a", "1")]
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_csv_empty_cells_keep_their_place(spark, tmp_path, multi_line):
+    (tmp_path / "a.csv").write_text(
+        'sku,name,price\nA,,10\n,Gamma,5\n,,7\n,,\n   \n\nD, ,9\nE\n"",,\nF,5" pipe,"a ""b"", c"\n')
+    rows = by_file(csv_files.read_csv(spark, str(tmp_path), multi_line).collect())["a.csv"]
+    assert [[v for _, v in cells(r)] for r in rows] == [
+        ["A", "", "10"], ["", "Gamma", "5"], ["", "", "7"], ["", "", ""], ["D", "", "9"], ["E", None, None],
+        ["", "", ""], ["F", '5" pipe', 'a "b", c'],
+    ]
+
+
+def test_files_with_a_header_only_are_sheets(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y,x\n")
+    (tmp_path / "b.csv").write_text("x\n1\n2\n")
+    found = csv_files.sheets_of(csv_files.scan_csv(spark, str(tmp_path))).collect()
+    assert {r.source_file.rsplit("/", 1)[-1]: (r.headers, r.row_count) for r in found} == {
+        "a.csv": (["x", "y"], 0), "b.csv": (["x"], 2)}
 
 
 def test_workbook_cells(spark, tmp_path):
