@@ -14,43 +14,69 @@ whatever their names. An empty table gives no rows. Distinct lines are known by
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.lineage import materialize
 from gridloom.llm.graph import by_ids, components, link
-from gridloom.llm.parity_join import _mix, word_hashes
+from gridloom.llm.parity_join import PART, _mix, placed_words, word_hashes
 
 #: Bits in which the SimHashes of a pair may differ, and blocks they are cut into.
 APART, BLOCKS = 3, 6
 _ROW = "_gl_row"
-_OTHER = regex.compile(r"[^\w\n]+|_+")
-_DIGIT = regex.compile(r"\p{N}+")
 
 
-def compared(text: str) -> list[str]:
-    """The lines of a text as they are compared."""
-    words = _OTHER.sub(" ", text.lower())
-    return [line.strip() for line in _DIGIT.sub("0", words).split("\n")]
-
-
-def _line_hashes(line: str) -> tuple[int, int, int]:
-    """Hash of the line, its SimHash and its number of words."""
-    h = word_hashes(line)
-    if not len(h):
-        return 0, 0, 0
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    sim = np.packbits(2 * bits > len(h)).view(np.int64)[0]
-    places = np.arange(1, len(h) + 1, dtype=np.uint64)
-    whole = _mix(np.add.reduce(_mix(h + places), keepdims=True) + np.uint64(len(h)))
-    return int(whole.view(np.int64)[0]), int(sim), len(h)
+def compared(text: Column) -> Column:
+    """A text as its lines are compared: words in lower case with one blank between, numbers as 0."""
+    words = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}\n]+", " ")
+    return F.regexp_replace(F.regexp_replace(words, r"\p{N}+", "0"), r"(?m)^ | $", "")
+
+
+@functools.cache
+def _lanes() -> np.ndarray:
+    """For every byte, its eight bits as eight counters of eight bits each."""
+    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
+    return np.ascontiguousarray(bits).view(np.uint64)[:, 0]
+
+
+def _words(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of some lines, and how many each line has."""
+    if sum(map(len, lines)) * 4 > PART:
+        own = [word_hashes(line) for line in lines]
+        return np.concatenate(own), np.array([len(x) for x in own])
+    hashes, begin = placed_words("\n".join(lines).encode("utf-8", "replace"))
+    ends = np.cumsum([len(line.encode("utf-8", "replace")) + 1 for line in lines])
+    return hashes, np.diff(np.searchsorted(begin, np.concatenate([[0], ends])))
+
+
+def hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each line, its SimHash and its number of words; all 0 for a line without words."""
+    out = np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64)
+    if not lines:
+        return out
+    h, sizes = _words(lines)
+    used = np.flatnonzero(sizes)
+    if not len(used):
+        return out
+    first = np.concatenate([[0], np.cumsum(sizes[used])[:-1]])
+    place = (np.arange(len(h)) - np.repeat(first, sizes[used]) + 1).astype(np.uint64)
+    whole = _mix(np.add.reduceat(_mix(h + place), first) + sizes[used].astype(np.uint64))
+    # counters of eight bits hold up to 255 words, so longer lines are counted in stretches
+    stretches = -(-sizes[used] // 255)
+    begin = np.repeat(first, stretches) + 255 * (np.arange(stretches.sum()) - np.repeat(np.cumsum(stretches) - stretches, stretches))
+    table = _lanes()[h.view(np.uint8).reshape(-1, 8)]
+    counts = np.add.reduceat(table, begin, axis=0).view(np.uint8).astype(np.int64)
+    counts = np.add.reduceat(counts, np.cumsum(stretches) - stretches, axis=0)
+    sim = np.packbits(2 * counts > sizes[used][:, None], axis=1).view(np.int64)[:, 0]
+    out[0][used], out[1][used], out[2][used] = whole.view(np.int64), sim, sizes[used]
+    return out
 
 
 def _keyed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
@@ -62,21 +88,29 @@ def _keyed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """id, h, pos, line (hash), sim, words, chars per line of id, h, text."""
+    def facts(ids: list, hs: list, texts: list[list[str]]) -> pd.DataFrame:
+        lines = [line for own in texts for line in own]
+        sizes = [len(own) for own in texts]
+        whole, sim, words = hashed(lines)
+        places = np.arange(len(lines)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return pd.DataFrame({
+            "id": np.repeat(np.array(ids, np.int64), sizes), "h": np.repeat(np.array(hs, np.int64), sizes),
+            "pos": places.astype(np.int32), "line": whole, "sim": sim, "words": words.astype(np.int32),
+            "chars": np.fromiter(map(len, lines), np.int32, len(lines))})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[int, int, int]] = {}
         for batch in batches:
-            rows = []
+            ids, hs, texts, chars = [], [], [], 0
             for doc, h, text in zip(batch["id"], batch["h"], batch["text"], strict=True):
-                for pos, line in enumerate(compared(text or "")):
-                    if not line:
-                        continue
-                    found = known.get(line)
-                    if found is None:
-                        found = _line_hashes(line)
-                        if len(line) < 200 and len(known) < 200_000:
-                            known[line] = found
-                    rows.append((doc, h, pos, *found, len(line)))
-            yield pd.DataFrame(rows, columns=["id", "h", "pos", "line", "sim", "words", "chars"])
+                ids.append(doc)
+                hs.append(h)
+                texts.append(text.split("\n"))
+                chars += len(text)
+                if chars > PART // 8:  # enough texts for one go
+                    yield facts(ids, hs, texts)
+                    ids, hs, texts, chars = [], [], [], 0
+            if ids:
+                yield facts(ids, hs, texts)
 
     return docs.mapInPandas(run, "id long, h long, pos int, line long, sim long, words int, chars int")
 
@@ -84,7 +118,10 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _texts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(_line_hashes(line)[0], line) for text in batch["text"] for line in compared(text or "") if line]
+            rows = []
+            for text in batch["text"]:
+                lines = text.split("\n")
+                rows += [x for x in zip(hashed(lines)[0].tolist(), lines, strict=True) if x[1]]
             yield pd.DataFrame(rows, columns=["id", "text"])
 
     return docs.mapInPandas(run, "id long, text string")
@@ -141,7 +178,7 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 def removals(docs: DataFrame, similarity: float = 0.9, min_words: int = 2, id_col: str = "doc_id",
              text: str = "text") -> DataFrame:
     """_gl_row and _gl_gone, the places (from 0) of its lines that go, for rows that lose lines."""
-    bare = _keyed(docs, text, id_col).select(f"{_ROW}.id", f"{_ROW}.h", F.col(text).alias("text"))
+    bare = _keyed(docs, text, id_col).select(f"{_ROW}.id", f"{_ROW}.h", compared(F.col(text)).alias("text"))
     lines = materialize(_lines(bare).where(F.col("words") >= min_words))
     place = F.struct("id", "h", "pos")
     distinct = materialize(lines.groupBy("line").agg(

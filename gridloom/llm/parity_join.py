@@ -59,10 +59,22 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64), space, *powers
 
 
+def placed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of at most 2 PART bytes, and where they begin."""
+    values, space, powers, inverse = _tables()
+    codes = np.frombuffer(data, np.uint8)
+    word = np.zeros(len(codes) + 2, np.int8)
+    word[1:-1] = ~space[codes]
+    edge = np.diff(word)
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(values[codes] * powers[:len(codes)], out=sums[1:])
+    return _mix((sums[end] - sums[begin]) * inverse[begin]), begin
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of a text's words: runs without ASCII white space, A-Z in lower case."""
     data = (text or "").encode("utf-8", "replace").lower()
-    values, space, powers, inverse = _tables()
     out, at = [], 0
     while at < len(data):
         part = data[at:at + PART]
@@ -77,14 +89,7 @@ def word_hashes(text: str | None) -> np.ndarray:
                 continue
             part = part[:cut]
         at += len(part)
-        codes = np.frombuffer(part, np.uint8)
-        word = np.zeros(len(codes) + 2, np.int8)
-        word[1:-1] = ~space[codes]
-        edge = np.diff(word)
-        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(values[codes] * powers[:len(codes)], out=sums[1:])
-        out.append(_mix((sums[end] - sums[begin]) * inverse[begin]))
+        out.append(placed_words(part)[0])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 

@@ -1,4 +1,7 @@
 import random
+import re
+
+import numpy as np
 
 from gridloom.llm import fuzzy_lines, repeated_spans
 from tests.llm.support import awkward, edited, groups, invented
@@ -14,15 +17,20 @@ def test_edit_distance():
         assert near == edit_distance(a, b) if edit_distance(a, b) <= 3 else near > 3
 
 
+def compared(text):
+    words = re.sub(r"[^a-z0-9\n]+", " ", (text or "").lower())
+    return [line.strip() for line in re.sub("[0-9]+", "0", words).split("\n")]
+
+
 def lines_by_hand(rows):
     """The places that go from each document, by comparing every line with every other."""
-    every = [(i, pos, line) for i, t in rows for pos, line in enumerate(fuzzy_lines.compared(t or "")) if len(line.split()) >= 2]
-    facts = {line: fuzzy_lines._line_hashes(line) for _, _, line in every}
-    known = sorted(facts)
+    every = [(i, pos, line) for i, t in rows for pos, line in enumerate(compared(t)) if len(line.split()) >= 2]
+    known = sorted({line for _, _, line in every})
+    facts = dict(zip(known, fuzzy_lines.hashed(known)[1].tolist(), strict=True))
     links = []
     for x, a in enumerate(known):
         for b in known[:x]:
-            apart = bin((facts[a][1] ^ facts[b][1]) & (1 << 64) - 1).count("1")
+            apart = bin((facts[a] ^ facts[b]) & (1 << 64) - 1).count("1")
             longest = max(len(a), len(b))
             if apart <= 3 and min(len(a), len(b)) >= 0.9 * longest and 1 - edit_distance(a, b) / longest >= 0.9:
                 links.append((a, b))
@@ -60,6 +68,15 @@ def test_lines_of_awkward_rows(spark):
     assert fuzzy_lines.dedup_lines(awkward(spark, table=False)).count() == 0
 
 
+def test_hashes_do_not_depend_on_the_batch():
+    lines = ["a b", "", "c", "word " * 700, *invented(50, 3)]
+    together = fuzzy_lines.hashed(lines)
+    for k, line in enumerate(lines):
+        assert [int(x[0]) for x in fuzzy_lines.hashed([line])] == [int(x[k]) for x in together]
+    bits = np.unpackbits(fuzzy_lines.word_hashes("c").view(np.uint8)).tolist()
+    assert bits == np.unpackbits(together[1][2:3].view(np.uint8)).tolist()
+
+
 def spans_by_hand(rows, run_words):
     every = [(run, i, a, b) for i, t in rows for run, a, b in repeated_spans.runs(t or "", run_words)]
     first = {}
