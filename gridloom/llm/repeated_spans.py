@@ -1,7 +1,7 @@
 """Removal of passages that occur before, by hashes of runs of consecutive sentences.
 
-A sentence ends at `.`, `!`, `?`, a line end, or before a capital letter, as passages get pasted in
-the middle of sentences. Runs: from every sentence on, and back from every sentence, as many
+A sentence starts after `.`, `!` or `?` and a blank, after a line end, or with a capital letter, as
+passages get pasted in the middle of sentences. Runs: from every sentence on, and back from every sentence, as many
 consecutive sentences as hold `run_words` words. Runs are hashed as lower-case words and joined over
 all documents; a run's first place (smallest id, then place) stays, and all sentences covered by any
 other place of it are marked. A passage of twice `run_words` words is therefore found whole.
@@ -13,53 +13,72 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.lineage import materialize
 from gridloom.llm.fuzzy_lines import _ROW, _keyed
-from gridloom.llm.parity_join import _mix, word_hashes
-
-_BORDER = regex.compile(r"(?<=[.!?])\s+|\n+|(?<=[\s])(?=\p{Lu})")
-_PUNCTUATION = regex.compile(r"[^\w\s]+|_+")
-
-
-def sentences(text: str) -> list[tuple[int, int]]:
-    """Begin and end of each sentence in code points; blanks between them belong to the one before."""
-    edges = sorted({0, len(text), *(m.end() for m in _BORDER.finditer(text))})
-    return list(zip(edges, edges[1:]))
-
-
-def runs(text: str, run_words: int) -> list[tuple[int, int, int]]:
-    """Hash, begin and end of every run."""
-    spans = sentences(text)
-    hashed = [word_hashes(_PUNCTUATION.sub(" ", text[a:b].lower())) for a, b in spans]
-    counts = np.cumsum([0, *map(len, hashed)])
-    if counts[-1] < run_words:
-        return []
-    words = np.concatenate(hashed)
-    found = set()
-    for k in range(len(spans)):
-        if not len(hashed[k]):
-            continue
-        last = int(np.searchsorted(counts, counts[k] + run_words))
-        if last <= len(spans):
-            found.add((k, last))
-        first = int(np.searchsorted(counts, counts[k + 1] - run_words, side="right")) - 1
-        if first >= 0:
-            found.add((first, k + 1))
-    out = []
-    for a, b in sorted(found):
-        own = words[counts[a]:counts[b]]
-        h = _mix(np.add.reduce(_mix(own + np.arange(1, len(own) + 1, dtype=np.uint64)), keepdims=True))
-        out.append((int(h.view(np.int64)[0]), spans[a][0], spans[b - 1][1]))
-    return out
+from gridloom.llm.parity_join import _mix
+from gridloom.llm.pretokens import _powers, _values
+
+_SPACE, _CAPITAL, _END, _SPOKEN = 1, 2, 4, 8
+
+
+@functools.cache
+def _marks() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: what it marks, and the lower-case letter it is hashed as."""
+    every = [chr(c) for c in range(0x110000)]
+    marks = np.array([_SPACE * c.isspace() + _CAPITAL * c.isupper() + _SPOKEN * c.isalnum() for c in every], np.uint8)
+    marks[[ord(c) for c in ".!?"]] |= _END
+    low = np.array([ord(x) if len(x := c.lower()) == 1 else ord(c) for c in every], np.int64)
+    return marks, low
+
+
+def runs(text: str, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, begin and end (code points) of every run."""
+    none = np.zeros(0, np.int64)
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    marks, low = _marks()
+    kind = marks[codes]
+    word = np.zeros(len(codes) + 2, np.int8)
+    word[1:-1] = (kind & _SPACE) == 0
+    edge = np.diff(word)
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if len(begin) < run_words:
+        return none, none, none
+    # words of letters and digits alone; marks between count nothing
+    spoken = (kind & _SPOKEN) > 0
+    at = np.concatenate([[0], np.cumsum(spoken)])
+    letters = low[codes[spoken]]
+    powers, inverse = _powers(1 << max(20, int(len(codes)).bit_length()))
+    sums = np.zeros(len(letters) + 1, np.uint64)
+    np.cumsum(_values()[letters] * powers[:len(letters)], out=sums[1:])
+    first, last = at[begin], at[end]
+    heard = last > first
+    words = _mix((sums[last[heard]] - sums[first[heard]]) * inverse[first[heard]])
+    # a sentence starts after an end mark, after a line end, or with a capital letter
+    lines = np.concatenate([[0], np.cumsum(codes == 10)])
+    starts = np.ones(len(begin), bool)
+    starts[1:] = ((kind[end[:-1] - 1] & _END) > 0) | (lines[begin[1:]] > lines[end[:-1]]) | ((kind[begin[1:]] & _CAPITAL) > 0)
+    border = np.append(begin[starts], len(codes))
+    border[0] = 0
+    counts = np.concatenate([[0], np.cumsum(heard)])[np.append(np.flatnonzero(starts), len(begin))]
+    own = np.flatnonzero(np.diff(counts))
+    size = len(border)
+    ahead = np.searchsorted(counts, counts[own] + run_words)
+    behind = np.searchsorted(counts, counts[own + 1] - run_words, side="right") - 1
+    pairs = np.unique(np.concatenate([(own * size + ahead)[ahead < size], (behind * size + own + 1)[behind >= 0]]))
+    a, b = pairs // size, pairs % size
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers[:len(words)], out=sums[1:])
+    h = _mix((sums[counts[b]] - sums[counts[a]]) * inverse[counts[a]] + (counts[b] - counts[a]).astype(np.uint64))
+    return h.view(np.int64), border[a], border[b]
 
 
 def repeated_spans(docs: DataFrame, run_words: int = 25, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -69,9 +88,14 @@ def repeated_spans(docs: DataFrame, run_words: int = 25, id_col: str = "doc_id",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(doc, h, *found) for doc, h, text in zip(batch["id"], batch["h"], batch["text"], strict=True)
-                    for found in runs(text or "", run_words)]
-            yield pd.DataFrame(rows, columns=["id", "h", "run", "begin", "end"])
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at:at + 500]
+                found = [runs(text or "", run_words) for text in part["text"]]
+                sizes = [len(x[0]) for x in found]
+                run_hash, begin, end = (np.concatenate([x[k] for x in found]) for k in range(3))
+                yield pd.DataFrame({
+                    "id": np.repeat(part["id"].to_numpy(), sizes), "h": np.repeat(part["h"].to_numpy(), sizes),
+                    "run": run_hash, "begin": begin.astype(np.int32), "end": end.astype(np.int32)})
 
     every = materialize(bare.mapInPandas(run, "id long, h long, run long, begin int, end int"))
     place = F.struct("id", "h", "begin")

@@ -77,8 +77,20 @@ def test_hashes_do_not_depend_on_the_batch():
     assert bits == np.unpackbits(together[1][2:3].view(np.uint8)).tolist()
 
 
+def runs_by_hand(text, run_words):
+    edges = [m.start() for m in re.finditer(r"\S+", text)]
+    begin = [0] + [p for p in edges[1:] if re.search(r"([.!?]\s+|\n\s*)$", text[:p]) or text[p].isupper()] + [len(text)]
+    parts = [re.sub(r"[^\w ]|_", "", " ".join(text[a:b].split())).lower().split() for a, b in zip(begin, begin[1:])]
+    for a in range(len(parts)):
+        for b in range(a + 1, len(parts) + 1):
+            size = sum(map(len, parts[a:b]))
+            least = size - len(parts[b - 1]) < run_words or size - len(parts[a]) < run_words
+            if size >= run_words and parts[a] and parts[b - 1] and least:
+                yield " ".join(sum(parts[a:b], [])), begin[a], begin[b]
+
+
 def spans_by_hand(rows, run_words):
-    every = [(run, i, a, b) for i, t in rows for run, a, b in repeated_spans.runs(t or "", run_words)]
+    every = [(run, i, a, b) for i, t in rows for run, a, b in runs_by_hand(t or "", run_words)]
     first = {}
     for run, i, a, b in every:
         first[run] = min(first.get(run, (i, a)), (i, a))
