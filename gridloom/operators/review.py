@@ -159,8 +159,10 @@ def edit_records(canonical: DataFrame, effects: DataFrame) -> DataFrame:
     joined = canonical.join(effects, "record_id", "left")
 
     def merged(f: str) -> Column:
-        new = F.col(f"_new_{f}").try_cast(model.field_type(f))
-        return F.when(F.col(f"_has_{f}"), new).otherwise(F.col(f"data.{f}")).alias(f)
+        given = F.col(f"_new_{f}")
+        new = given.try_cast(model.field_type(f))
+        # text that is no number leaves the number as it was
+        return F.when(F.col(f"_has_{f}") & (new.isNotNull() | given.isNull()), new).otherwise(F.col(f"data.{f}")).alias(f)
 
     touched = F.col("edited").isNotNull()
     rows = joined.withColumns({

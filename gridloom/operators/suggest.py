@@ -22,7 +22,9 @@ def suggest_mapping(sheets: DataFrame) -> DataFrame:
     `mapping` lists (field, header, confidence) in field order. The work is per sheet, from the
     sheet's own header list: no explode, no join, no shuffle.
     """
-    inferred = F.coalesce("entity_hint", entity_by_name(F.col("sheet_name")))
+    # an unknown hint says nothing
+    hint = F.when(F.col("entity_hint").isin(*ENTITY_TYPES), F.col("entity_hint"))
+    inferred = F.coalesce(hint, entity_by_name(F.col("sheet_name")))
     keyed = sheets.withColumns({
         "_type": inferred,
         "_names": F.reverse("headers"),
@@ -52,7 +54,7 @@ def suggest_mapping(sheets: DataFrame) -> DataFrame:
         *sheets.columns,
         F.coalesce("_type", F.lit("PRODUCT")).alias("entity_type"),
         mapping.alias("mapping"),
-    ).withColumn("needs_review", (F.size("mapping") == 0) | F.col("entity_hint").isNull())
+    ).withColumn("needs_review", (F.size("mapping") == 0) | hint.isNull())
 
 
 def scope_hint(sheets: DataFrame) -> DataFrame:

@@ -213,15 +213,25 @@ def commit_ledger(spark, sf):
     return ledger.reconcile(actions, outcomes).select("action_id", "status", "sequence", "result_external_id", "error")
 
 
+# besides the bookings' batches: empty ones that were asked for, and one that was rolled back as a whole
 @query("committed_batches", _AFTER + """
   SELECT batch_id, CASE WHEN count(*) FILTER (status = 'FAILED') > 0 THEN 'FAILED'
+      WHEN count(*) FILTER (status = 'COMMITTED') = 0 THEN 'PREVIEWED'
       WHEN count(*) FILTER (status = 'PLANNED') > 0 THEN 'COMMITTING' ELSE 'COMMITTED' END AS status,
     CASE WHEN count(*) FILTER (status = 'FAILED') > 0 THEN 'commit' END AS error_stage,
     arg_min(action_id, sequence) FILTER (status = 'FAILED') AS error_action_id,
-    arg_min(error, sequence) FILTER (status = 'FAILED') AS error_message FROM after GROUP BY batch_id""")
+    arg_min(error, sequence) FILTER (status = 'FAILED') AS error_message FROM after GROUP BY batch_id
+  UNION ALL SELECT DISTINCT concat('E', o_orderstatus), 'COMMITTED', NULL, NULL, NULL FROM orders
+  UNION ALL SELECT DISTINCT 'X', 'ROLLED_BACK', NULL, NULL, NULL FROM after WHERE batch_id = 'B5-LOW'""")
 def committed_batches(spark, sf):
     canonical, actions, outcomes = _ledger(spark, sf)
-    return ledger.commit(actions, canonical, _batches_of(actions), outcomes).batches
+    undone = actions.filter("batch_id = 'B5-LOW'").withColumns({
+        "batch_id": F.lit("X"), "status": F.lit("ROLLED_BACK"), "action_id": F.concat(F.lit("x"), "action_id")})
+    empty = inp.table(spark, sf, "orders").select(F.concat(F.lit("E"), "o_orderstatus").alias("batch_id")).distinct()
+    rows = _batches_of(actions).unionByName(empty.withColumn("status", F.lit("PREVIEWED"))).unionByName(
+        undone.select("batch_id").distinct().withColumn("status", F.lit("ROLLED_BACK")))
+    asked = rows.filter("batch_id <> 'B5-LOW'")
+    return ledger.commit(actions.unionByName(undone), canonical, rows, outcomes, asked).batches
 
 
 @query("published_records", _AFTER + """

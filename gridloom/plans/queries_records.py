@@ -291,7 +291,7 @@ _HEADER_SETS = (
     ("Name", "fullName", "Guide"),
 )
 _HINT = ("CASE c_custkey % 5 WHEN 0 THEN 'TRAVELER' WHEN 1 THEN 'GUIDE' WHEN 2 THEN 'PRODUCT'"
-         " ELSE CAST(NULL AS STRING) END")
+         " WHEN 3 THEN 'HOTEL' ELSE CAST(NULL AS STRING) END")
 _TAB = ("CASE c_custkey % 3 WHEN 0 THEN 'Travelers' WHEN 1 THEN ' product '"
         " ELSE CAST(NULL AS STRING) END")
 
@@ -308,7 +308,7 @@ def _suggest_sql() -> str:
       a(entity_type, field, field_no, rank, spelling) AS (VALUES {spellings}),
       keyed AS (SELECT *, trim(regexp_replace(lower(header), '[^a-z0-9]+', ' ', 'g')) AS k FROM h),
       last AS (SELECT set_no, k, arg_max(header, pos) AS header FROM keyed GROUP BY set_no, k),
-      sheets AS (SELECT c_custkey, c_custkey % 4 AS set_no, {_HINT} AS hint,
+      sheets AS (SELECT c_custkey, c_custkey % 4 AS set_no, nullif({_HINT}, 'HOTEL') AS hint,
         CASE lower(trim({_TAB})) WHEN 'travelers' THEN 'TRAVELER' WHEN 'product' THEN 'PRODUCT' END AS by_name
         FROM customer),
       typed AS (SELECT *, coalesce(hint, by_name) AS t FROM sheets),
