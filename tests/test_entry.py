@@ -7,7 +7,7 @@ import sys
 from pathlib import Path
 
 ROOT = Path(__file__).resolve().parent.parent
-SHOW = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries(), [k for k in e.queries() if k.startswith('op')])"
+SHOW = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries(), [k for k in e.queries() if k[:2] == 'op' and k[2].isdigit()])"
 
 
 def loaded(folder, lines=SHOW):
