@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, fuzzy_lines, multi_index, packing, parity_join, repeated_spans, secrets, spotsigs, toxicity
+from gridloom.llm import (
+    bpe, chat, fuzzy_lines, multi_index, packing, parity_join, periodic_runs, positional_index, repeated_spans,
+    secrets, spotsigs, toxicity, vector_codes,
+)
 from gridloom.plans.registry import query
 
 
@@ -174,3 +177,82 @@ def toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
     chain = toxicity.fit(docs, labels, ["low_quality", "toxic"])
     return toxicity.score(docs, chain).select("doc_id", "toxicity.*")
+
+
+def _codes_sql(entries: int = 256, rounds: int = 4) -> str:
+    """Whole numbers, parts, the first codebook, then assignment and floored means once a round."""
+    steps = [f"""
+    kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    parts AS MATERIALIZED (SELECT vec_id, label, p, e[p * (len(e) // 4) + 1:(p + 1) * (len(e) // 4)] AS x FROM kept, range(4) AS r(p)),
+    c0 AS MATERIALIZED (SELECT p, k, x FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k FROM parts)
+        WHERE k < {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+    a{r} AS MATERIALIZED (SELECT vec_id, label, p, any_value(x) AS x, min((d, k)) AS best FROM (
+            SELECT v.vec_id, v.label, v.p, v.x, c.k,
+                   list_sum(list_transform(list_zip(v.x, c.x), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT AS d
+            FROM parts v JOIN c{r} c ON v.p = c.p) GROUP BY vec_id, label, p)""")
+        if r < rounds:
+            steps.append(f"""
+    s{r} AS (SELECT p, best[2] AS k, i, sum(c)::BIGINT AS s, count(*) AS n
+        FROM (SELECT p, best, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY ALL),
+    m{r} AS (SELECT p, k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{r} GROUP BY p, k),
+    c{r + 1} AS MATERIALIZED (SELECT o.p, o.k, coalesce(m.x, o.x) AS x FROM c{r} o LEFT JOIN m{r} m ON m.p = o.p AND m.k = o.k)""")
+    return "WITH " + ",".join(steps) + f""",
+    whole AS (SELECT vec_id, label, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error
+              FROM a{rounds} GROUP BY vec_id, label)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+           (SELECT sha256(string_agg(v, ',' ORDER BY p, k, i)) FROM (SELECT p, k, unnest(x)::VARCHAR AS v, generate_subscripts(x, 1) AS i
+            FROM c{rounds})) AS codebooks_sha256
+    FROM whole"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def compressed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    digits = F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0")))
+    return coded.select(F.col("id").alias("vec_id"), F.array_join(digits, "").alias("code"), "error", "label_error",
+                        F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+@query("op12_periodic_runs", None)
+def periodic_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.repeated_by_rule(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    read = periodic_runs.collapse(docs).select("doc_id", "periodic.*")
+    best = periodic_runs.strongest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return read.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+# phrases of each item, the runs of as many words of each document, and words inside any equal one
+_CONTAMINATION_SQL = r"""
+    WITH split AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+    listed AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM split),
+    windows AS (SELECT DISTINCT id AS item, least(len(w), 10) AS n,
+                       unnest(list_transform(generate_series(1, greatest(len(w) - 9, 1)), lambda i: array_to_string(w[i:i + 9], ' '))) AS t
+                FROM listed WHERE kind = 1 AND len(w) > 0),
+    lengths AS (SELECT DISTINCT n FROM windows),
+    runs AS (SELECT id, n, unnest(generate_series(1, len(w) - n + 1)) AS i,
+                    unnest(list_transform(generate_series(1, len(w) - n + 1), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS t
+             FROM listed, lengths WHERE kind = 0 AND len(w) >= n),
+    hits AS (SELECT r.id, r.i, r.n, w.item FROM runs r JOIN windows w ON r.t = w.t AND r.n = w.n),
+    marked AS (SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(generate_series(i, i + n - 1)) AS p FROM hits) GROUP BY id),
+    named AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+              FROM (SELECT DISTINCT id, item::VARCHAR AS item FROM hits) GROUP BY id)
+    SELECT d.id AS doc_id, len(d.w)::BIGINT AS n_words, coalesce(m.n_hit, 0)::BIGINT AS n_hit, coalesce(a.n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(a.items, '')) AS items_sha256, coalesce(m.n_hit, 0) > 0 AS contaminated
+    FROM listed d LEFT JOIN marked m ON m.id = d.id LEFT JOIN named a ON a.id = d.id WHERE d.kind = 0"""
+
+
+@query("op13_positional_index", _CONTAMINATION_SQL)
+def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = positional_index.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (covered > 0).alias("contaminated"))
