@@ -22,14 +22,14 @@ the id and text columns are read, so other columns may have any names.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,6 +196,31 @@ def near(lists: list[np.ndarray], documents: np.ndarray, within: int) -> np.ndar
     return np.array(sorted(found), np.int64)
 
 
+def _seeker(sent: Broadcast, within: int | None) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Finds the sent phrases (ids, sizes, a row of hashes each) in the lists of one block."""
+
+    def run(block: tuple, postings: pd.DataFrame) -> pd.DataFrame:
+        ids, sizes, grid = sent.value
+        order = np.argsort(postings["key"].to_numpy())
+        known, lists = postings["key"].to_numpy()[order], postings["places"].to_numpy()[order]
+        documents = lists[np.searchsorted(known, 0)]
+        at = np.minimum(np.searchsorted(known, grid), len(known) - 1)
+        rows = []
+        for k in np.flatnonzero((known[at] == grid).all(1)).tolist():
+            own = [lists[i] for i in at[k, :sizes[k]].tolist()]
+            starts = exact(own)
+            ends = near([lists[i] for i in set(at[k, :sizes[k]].tolist())], documents, within) if within else starts[:0]
+            if not len(starts) and not len(ends):
+                continue
+            of, last = (np.searchsorted(documents, x, side="right") - 1 for x in (starts, ends))
+            for d in np.union1d(of, last).tolist():
+                rows.append((block[0], d, ids[k], sizes[k], (starts[of == d] - documents[d]).astype(np.int32),
+                             (ends[last == d] - documents[d]).astype(np.int32)))
+        return pd.DataFrame(rows, columns=["block", "place", "phrase_id", "n", "starts", "ends"])
+
+    return run
+
+
 def occurrences(index: Index, wanted: DataFrame, within: int | None = None) -> DataFrame:
     """block, place, phrase_id, n (words), starts: a document's places of a phrase, as word numbers from 0.
     With `within`, also ends, the last words of near matches; starts may then be empty."""
@@ -212,27 +237,7 @@ def occurrences(index: Index, wanted: DataFrame, within: int | None = None) -> D
         if len(part):
             grid[np.arange(grid.shape[1]) < sizes[:, None]] = np.concatenate(part["keys"].to_numpy())
         sent = index.lists.sparkSession.sparkContext.broadcast((part["phrase_id"].to_numpy(), sizes, grid))
-
-        def run(block: tuple, postings: pd.DataFrame, sent=sent) -> pd.DataFrame:
-            ids, sizes, grid = sent.value
-            order = np.argsort(postings["key"].to_numpy())
-            known, lists = postings["key"].to_numpy()[order], postings["places"].to_numpy()[order]
-            documents = lists[np.searchsorted(known, 0)]
-            at = np.minimum(np.searchsorted(known, grid), len(known) - 1)
-            rows = []
-            for k in np.flatnonzero((known[at] == grid).all(1)).tolist():
-                own = [lists[i] for i in at[k, :sizes[k]].tolist()]
-                starts = exact(own)
-                ends = near([lists[i] for i in set(at[k, :sizes[k]].tolist())], documents, within) if within else starts[:0]
-                if not len(starts) and not len(ends):
-                    continue
-                of, last = (np.searchsorted(documents, x, side="right") - 1 for x in (starts, ends))
-                for d in np.union1d(of, last).tolist():
-                    rows.append((block[0], d, ids[k], sizes[k], (starts[of == d] - documents[d]).astype(np.int32),
-                                 (ends[last == d] - documents[d]).astype(np.int32)))
-            return pd.DataFrame(rows, columns=["block", "place", "phrase_id", "n", "starts", "ends"])
-
-        found = index.lists.groupBy("block").applyInPandas(run, schema)
+        found = index.lists.groupBy("block").applyInPandas(_seeker(sent, within), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
