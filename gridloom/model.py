@@ -53,3 +53,9 @@ def record_id(batch_id: Column, ord_: Column) -> Column:
     return F.concat_ws(
         ":", batch_id, F.shiftright(ord_, ROW_BITS), ord_.bitwiseAND(F.lit(ROW_MASK))
     )
+
+
+def row_ord_of(record_id_: Column) -> Column:
+    """The packed row order back from a record's id."""
+    return row_ord(F.split_part(record_id_, F.lit(":"), F.lit(-2)).cast("int"),
+                   F.split_part(record_id_, F.lit(":"), F.lit(-1)).cast("bigint"))

@@ -95,9 +95,13 @@ def plan(canonical: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
-def replan(actions: DataFrame, planned: DataFrame) -> DataFrame:
-    """Actions after a preview: PLANNED rows of the previewed batches are rebuilt, others stay."""
-    stale = skew.without(actions.filter("status = 'PLANNED'"), planned, "batch_id")
+def replan(actions: DataFrame, planned: DataFrame, previewed: DataFrame | None = None) -> DataFrame:
+    """Actions after a preview: PLANNED rows of the previewed batches are rebuilt, others stay.
+
+    `previewed` names the batches (batch_id) when some of them may have nothing left to plan.
+    """
+    done = planned if previewed is None else previewed
+    stale = skew.without(actions.filter("status = 'PLANNED'"), done, "batch_id")
     return actions.filter("status <> 'PLANNED'").unionByName(stale).unionByName(planned)
 
 

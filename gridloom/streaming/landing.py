@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from gridloom.lineage import materialize
-from gridloom.plans.pipeline import Store, ingest
+from gridloom.plans.pipeline import ingest
 from gridloom.sources import csv_files
+from gridloom.sources.store import Store
 
 
 def watch_csv(
@@ -17,12 +18,11 @@ def watch_csv(
     """Ingest all new CSV files of the folder and stop.
 
     A file is one batch and never spans micro-batches, and matching stays within a batch, so no
-    state is carried over. Stage writes replace a batch's partitions: a micro-batch that runs
-    again after a failure writes the same rows to the same places.
+    state is carried over. A micro-batch is one change of the store: after a failure it runs again
+    on the old state, and run twice it replaces its own batches.
     """
     def run(scan: DataFrame, _: int) -> None:
-        staged = materialize(csv_files.tokens(scan))
-        ingest(csv_files.rows_of(staged), store, mappings, csv_files.sheets_of(staged))
+        ingest(materialize(csv_files.tokens(scan)), store, mappings)
 
     return (
         csv_files.stream_csv(spark, landing, multi_line, files_per_trigger)

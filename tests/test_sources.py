@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.sources import csv_files, files, stage_tables, workbook
+from gridloom.sources import csv_files, files, workbook
 from tests.support import write_workbook
 
 
@@ -122,20 +122,3 @@ def test_routing_and_manifest(spark, tmp_path):
     digest = "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
     assert (row.content_hash, row.byte_size) == (digest, 3)
     assert row.storage_key == f"s1/{digest[:12]}-my_file_.csv"
-
-
-def test_stage_rebuild_replaces_only_its_batches(spark, tmp_path):
-    path = str(tmp_path / "stage")
-    def frame(rows):
-        return spark.createDataFrame(rows, "batch_id string, row_ord bigint, v string")
-    def ids(*names):
-        return spark.createDataFrame([(n,) for n in names], "batch_id string")
-    stage_tables.write_stage(frame([("1", 0, "a"), ("1", 1, "b"), ("2", 0, "c")]), path, ids("1", "2"))
-    stage_tables.write_stage(frame([("1", 0, "new")]), path, ids("1"))
-    read = lambda: sorted((r.batch_id, r.v) for r in stage_tables.read_stage(spark, path).collect())
-    assert read() == [("1", "new"), ("2", "c")]
-    stage_tables.write_stage(frame([]), path, ids("2"))
-    assert read() == [("1", "new")]
-    stored = stage_tables.read_stage(spark, path)
-    stage_tables.rewrite_stage(stored.withColumn("v", F.upper("v")), path, ids("1"))
-    assert read() == [("1", "NEW")]
