@@ -86,7 +86,7 @@ class _Marked(dict):
 
     def __missing__(self, word: bytes) -> int:
         n = -1
-        if self.marks[zlib.crc32(word) % MARKS]:
+        if self.marks[zlib.crc32(word) % len(self.marks)]:
             n = len(self.known)
             self.known.append(word)
         self[word] = n
