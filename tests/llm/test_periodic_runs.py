@@ -88,7 +88,7 @@ def test_strongest_run_compares_whole_fractions(spark):
 
 def test_repetition_written_by_rule(spark):
     texts = [" ".join(f"t{k}" for k in range(n)) for n in range(200)]
-    docs = spark.createDataFrame([(k, t, *[None] * 12) for k, t in enumerate(texts)] + [(None, "a b", *[None] * 12)],
+    docs = spark.createDataFrame([(k, t, *[None] * 9) for k, t in enumerate(texts)] + [(None, "a b", *[None] * 9)],
                                  f"doc_id long, text string, {CLASHING}")
     changed = 0
     for r in pr.repeated_by_rule(docs).collect():

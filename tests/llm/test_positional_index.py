@@ -49,7 +49,7 @@ def check(spark, docs, items, length=10, within=12):
 
 
 def bench(spark, rows):
-    return spark.createDataFrame([(i, t, *[None] * 12) for i, t in rows], f"item_id long, text string, {CLASHING}")
+    return spark.createDataFrame([(i, t, *[None] * 9) for i, t in rows], f"item_id long, text string, {CLASHING}")
 
 
 def corpus(seed):
