@@ -28,7 +28,7 @@ def _uploads(spark, sf, raw: inp.Raw, name: str) -> DataFrame:
         F.lit(None).cast("string").alias("sheet_name"), "source_row_index", "cells")
 
 
-_OWN = F.split_part("source_file", F.lit("/"), F.lit(1))
+_OWN = "split_part(source_file, '/', 1)"
 _NUMBER = "CAST(substr(batch_id, 2) AS INT)"
 
 # Orders as bookings in 23 uploads of four sessions. Upload 5 stays in review. A third is previewed, the others are
@@ -58,7 +58,7 @@ def stored_lifecycle(spark, sf):
     """Ingest, review, preview, a partly failed commit, its resumption and rollback of the latest, stored."""
     store = _store(spark)
     first, second = (F.lit(f"2026-01-0{d} 00:00:00").cast("timestamp_ntz") for d in (1, 2))
-    pipeline.ingest(_uploads(spark, sf, _LOANS, "bookings"), store, batch_id=_OWN,
+    pipeline.ingest(_uploads(spark, sf, _LOANS, "bookings"), store, batch_id=F.expr(_OWN),
                     session_id=F.concat(F.lit("s"), F.expr(_NUMBER) % 4), at=first)
     items = store.read(spark, pipeline.ITEMS).filter(F.expr(_NUMBER) != 5)
     pipeline.decide(spark, store, items.select(
@@ -118,7 +118,7 @@ _CREW_SQL = inp.people_sql(_CREW, "Guide Name", "mail", None)
 def stored_retry_and_purge(spark, sf):
     """Two uploads fail, one of them is retried; one session goes with all its tables' rows."""
     store = _store(spark)
-    pipeline.ingest(_uploads(spark, sf, _CREW, "guides"), store, batch_id=_OWN,
+    pipeline.ingest(_uploads(spark, sf, _CREW, "guides"), store, batch_id=F.expr(_OWN),
                     session_id=F.concat(F.lit("s"), F.expr(_NUMBER) % 3))
     batches = store.read(spark, pipeline.BATCHES).select("batch_id", "source_file")
     failed = batches.filter("batch_id IN ('C1', 'C3')")
