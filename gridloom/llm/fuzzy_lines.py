@@ -1,42 +1,59 @@
 """Line deduplication by SimHash: of each group of alike lines over all documents one line stays.
 
-Lines are compared as lower-case words; digits read alike. Equal lines are put together first. Of the
-rest, lines whose 64-bit SimHashes differ in at most three bits are found by the pigeonhole
-principle: of six blocks of bits at least three are equal, and every choice of three is a join key.
-Candidates are verified by edit similarity of the compared texts (0.9 or more). Links form groups;
-the line of a group with the smallest document id and place stays, all others go.
-
-Lines of fewer than `min_words` words (blank lines too) are neither compared nor removed. A null text
-stays null and an empty one empty. Rows with a null id come last in the order. Rows equal in id and
-text lose the same lines; a null or repeated id is no error. All other columns stay as they are,
-whatever their names. An empty table gives no rows. Distinct lines are known by 64-bit hashes.
+Lines are compared in lower case with single blanks; digits and marks count. Equal lines are put together
+first. For the rest a line's SimHash is laid out in blocks of 64 bits, one for every few features:
+a feature's hash names the block it votes in, so an edit of one word leaves all blocks but two as they are,
+and by the pigeonhole principle fewer edits than half the blocks leave one equal. Every block, with its
+number, is a join key. Features are words of letters and digits, digits alike; of words above LONG_WORD
+bytes and of lines with few words, windows of WINDOW characters in their place. Lines whose number of
+features is near a change of the layout have the keys of both. Candidates are verified by edit similarity of the
+compared lines (0.9 or more). Links form groups; the line of a group with the smallest document id and
+place stays, all others go.
+
+Lines with fewer than `min_chars` letters and digits (blank lines too) are neither compared nor removed. A
+null text stays null and an empty one empty. Rows with a null id come last in the order. Rows equal in id
+and text lose the same lines; a null or repeated id is no error. Other columns stay as they are, but for
+one named like `into`, which is replaced. An empty table gives no rows. Distinct lines are known by 64-bit
+hashes. Work on a line grows with its length, that of verifying a pair with the square of it, 64 steps at
+a time; memory grows with the longer of the two.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.lineage import materialize
 from gridloom.llm.graph import by_ids, components, link
-from gridloom.llm.parity_join import PART, _mix, placed_words, word_hashes
-
-#: Bits in which the SimHashes of a pair may differ, and blocks they are cut into.
-APART, BLOCKS = 3, 6
+from gridloom.llm.parity_join import PART, _mix, _tables
+
+#: Features to a block of the SimHash, of words and of windows, and the fewest a block needs to be a key.
+TO_BLOCK, FEWEST = (8, 3), (2, 3)
+#: Lines with fewer words are known by windows of characters.
+FEW_WORDS = 20
+LONG_WORD, WINDOW = 24, 3
+#: How far apart the numbers of features of alike lines may be, for the choice of the layout.
+SLACK = 0.07
 _ROW = "_gl_row"
 
 
-def compared(text: Column) -> Column:
-    """A text as its lines are compared: words in lower case with one blank between, numbers as 0."""
-    words = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}\n]+", " ")
-    return F.regexp_replace(F.regexp_replace(words, r"\p{N}+", "0"), r"(?m)^ | $", "")
+@functools.cache
+def _kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each byte: whether it is white space within a line, whether it belongs to a word of letters and
+    digits, and the byte it is read as in features (digits alike, all else a blank)."""
+    space, spoken = np.zeros(256, bool), np.zeros(256, bool)
+    space[[9, 10, 11, 12, 13, 32]] = True
+    spoken[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+    read = np.where(spoken, np.arange(256), 32).astype(np.uint8)
+    read[48:58] = 48
+    return space, spoken, read
 
 
 @functools.cache
@@ -46,39 +63,175 @@ def _lanes() -> np.ndarray:
     return np.ascontiguousarray(bits).view(np.uint64)[:, 0]
 
 
-def _words(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of some lines, and how many each line has."""
-    if sum(map(len, lines)) * 4 > PART:
-        own = [word_hashes(line) for line in lines]
-        return np.concatenate(own), np.array([len(x) for x in own])
-    hashes, begin = placed_words("\n".join(lines).encode("utf-8", "replace"))
-    ends = np.cumsum([len(line.encode("utf-8", "replace")) + 1 for line in lines])
-    return hashes, np.diff(np.searchsorted(begin, np.concatenate([[0], ends])))
+def _spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each line, its SimHash and its number of words; all 0 for a line without words."""
-    out = np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64)
-    if not lines:
-        return out
-    h, sizes = _words(lines)
-    used = np.flatnonzero(sizes)
-    if not len(used):
-        return out
-    first = np.concatenate([[0], np.cumsum(sizes[used])[:-1]])
-    place = (np.arange(len(h)) - np.repeat(first, sizes[used]) + 1).astype(np.uint64)
-    whole = _mix(np.add.reduceat(_mix(h + place), first) + sizes[used].astype(np.uint64))
-    # counters of eight bits hold up to 255 words, so longer lines are counted in stretches
-    stretches = -(-sizes[used] // 255)
-    begin = np.repeat(first, stretches) + 255 * (np.arange(stretches.sum()) - np.repeat(np.cumsum(stretches) - stretches, stretches))
-    table = _lanes()[h.view(np.uint8).reshape(-1, 8)]
-    counts = np.add.reduceat(table, begin, axis=0).view(np.uint8).astype(np.int64)
-    counts = np.add.reduceat(counts, np.cumsum(stretches) - stretches, axis=0)
-    sim = np.packbits(2 * counts > sizes[used][:, None], axis=1).view(np.int64)[:, 0]
-    out[0][used], out[1][used], out[2][used] = whole.view(np.int64), sim, sizes[used]
+def _sums(codes: np.ndarray) -> np.ndarray:
+    values, _, powers, _ = _tables()
+    out = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(values[codes] * powers[:len(codes)], out=out[1:])
     return out
 
 
+def _windows(first: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the windows inside some stretches of bytes, and their stretch. `first`: where
+    characters start, and the end."""
+    low, high = np.searchsorted(first, begin), np.searchsorted(first, end)
+    size = np.maximum(high - low - WINDOW + 1, 0)
+    of = np.repeat(np.arange(len(begin)), size)
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+    return first[at], first[at + WINDOW], of
+
+
+class _Scan:
+    """Word hashes and features of the lines of a piece of text, of at most 2 PART bytes."""
+
+    def __init__(self, data: bytes):
+        space, spoken, read = _kinds()
+        inverse = _tables()[3]
+        codes = np.frombuffer(data, np.uint8)
+        first = (codes & 0xC0) != 0x80
+        ends = np.append(np.flatnonzero(codes == 10), len(codes))
+        starts = np.append(0, ends[:-1] + 1)
+        self.lines = len(starts)
+        letters = np.concatenate([[0], np.cumsum(spoken[codes] & first)])
+        self.letters = letters[ends] - letters[starts]
+
+        begin, end = _spans(~space[codes])
+        sums = _sums(codes)
+        self.words = _mix((sums[end] - sums[begin]) * inverse[begin])
+        self.word_line = np.searchsorted(ends, begin)
+        chars = np.concatenate([[0], np.cumsum(first)])
+        self.word_chars = chars[end] - chars[begin]
+
+        codes = read[codes]
+        begin, end = _spans(codes != 32)
+        sums = _sums(codes)
+        line = np.searchsorted(ends, begin)
+        self.spoken = np.bincount(line, minlength=self.lines)
+        long = end - begin > LONG_WORD
+        places = np.append(np.flatnonzero(first), len(codes))
+        at, to, of = _windows(places, begin[long], end[long])
+        self.features = np.concatenate([
+            _mix((sums[end[~long]] - sums[begin[~long]]) * inverse[begin[~long]]),
+            _mix((sums[to] - sums[at]) * inverse[at] + np.uint64(1))])
+        self.feature_line = np.concatenate([line[~long], line[long][of]])
+        few = np.flatnonzero(self.spoken < FEW_WORDS * (1 + SLACK))
+        at, to, of = _windows(places, starts[few], ends[few])
+        self.grams = _mix((sums[to] - sums[at]) * inverse[at] + np.uint64(2))
+        self.gram_line = few[of]
+
+
+def _layouts(sizes: np.ndarray, to_block: int) -> list[np.ndarray]:
+    """The number of blocks for each number of features: a power of two, and its neighbour's near a change."""
+    def power(n: np.ndarray) -> np.ndarray:
+        return 1 << np.ceil(np.log2(np.maximum(n / to_block, 4))).astype(np.int64)
+
+    low, high = power(sizes * (1 - SLACK)), power(sizes * (1 + SLACK))
+    return [low, np.where(high > low, high, 0)]
+
+
+def _blocks(features: np.ndarray, line: np.ndarray, lines: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all lines' blocks, and the line of each."""
+    keys, of = [], []
+    for blocks in _layouts(np.bincount(line, minlength=lines), TO_BLOCK[kind]):
+        used = blocks[line] > 0
+        own, at, count = features[used], line[used], blocks[line[used]]
+        if not len(own):
+            continue
+        block = (own >> np.uint64(24)).astype(np.int64) & (count - 1)
+        first_block = np.cumsum(blocks) - blocks
+        place = first_block[at] + block
+        # a feature votes once in its block, however often the line has it
+        if int(blocks.sum()) < 1 << 22:
+            mark = place.astype(np.uint64) << np.uint64(42) | own >> np.uint64(22)
+            order = np.argsort(mark)
+            fresh = np.diff(mark[order], prepend=~mark[order[:1]]) != 0
+        else:
+            order = np.lexsort((own, place))
+            fresh = np.append(True, (np.diff(own[order]) != 0) | (np.diff(place[order]) != 0))
+        order = order[fresh]
+        place, own = place[order], own[order]
+        start = np.flatnonzero(np.diff(place, prepend=-1))
+        size = np.diff(np.append(start, len(place)))
+        # counters of eight bits hold up to 255 votes, so larger blocks are counted in stretches
+        stretches = -(-size // 255)
+        begin = np.repeat(start, stretches) + 255 * (np.arange(stretches.sum()) - np.repeat(np.cumsum(stretches) - stretches, stretches))
+        votes = np.add.reduceat(_lanes()[own.view(np.uint8).reshape(-1, 8)], begin, axis=0).view(np.uint8)
+        if len(begin) > len(start):
+            votes = np.add.reduceat(votes.astype(np.int64), np.cumsum(stretches) - stretches, axis=0)
+            bits = 2 * votes > size[:, None]
+        else:
+            bits = votes > (size[:, None] // 2).astype(np.uint8)
+        sim = np.packbits(bits, axis=1).view(np.uint64)[:, 0]
+        named = at[order][start], block[order][start]
+        number = (named[1] + (blocks[named[0]] << 32) + kind).astype(np.uint64)
+        enough = size >= FEWEST[kind]
+        keys.append(_mix(sim * np.uint64(0x9E3779B97F4A7C15) + _mix(number))[enough])
+        of.append(named[0][enough])
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(keys), np.concatenate(of)
+
+
+def _pieces(data: bytes) -> list[tuple[bytes, bool]]:
+    """Whole lines, about PART bytes at a time, and whether the last one goes on in the next piece."""
+    out, at = [], 0
+    while len(data) - at > 2 * PART:
+        cut = data.rfind(b"\n", at, at + 2 * PART)
+        if cut >= 0:
+            out.append((data[at:cut], False))
+            at = cut + 1
+            continue
+        # a line longer than two parts: cut at a blank, or within a word if there is none
+        cut = data.rfind(b" ", at, at + PART)
+        cut = cut if cut > at else at + PART
+        out.append((data[at:cut], True))
+        at = cut
+    return [*out, (data[at:], False)]
+
+
+def facts(data: bytes) -> dict[str, np.ndarray]:
+    """Of each line of a text in lower case: hash, characters, letters, and the keys with their lines."""
+    scans, first, at = [], [], 0
+    for piece, goes_on in _pieces(data):
+        scan = _Scan(piece)
+        scans.append(scan)
+        first.append(at)
+        at += scan.lines - goes_on
+    n = at
+
+    def both(name: str, line: str) -> tuple[np.ndarray, np.ndarray]:
+        found = [(getattr(s, name), getattr(s, line) + f) for s, f in zip(scans, first, strict=True)]
+        return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+
+    def added(name: str) -> np.ndarray:
+        out = np.zeros(n, np.int64)
+        for s, f in zip(scans, first, strict=True):
+            out[f:f + s.lines] += getattr(s, name)
+        return out
+
+    words, line = both("words", "word_line")
+    size = np.bincount(line, minlength=n)
+    start = np.cumsum(size) - size
+    place = (np.arange(len(words)) - start[line] + 1).astype(np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(words + place))])
+    whole = _mix(sums[start + size] - sums[start] + size.astype(np.uint64))
+    chars = np.bincount(line, both("word_chars", "word_line")[0], n).astype(np.int64) + np.maximum(size - 1, 0)
+
+    spoken, features, grams = added("spoken"), both("features", "feature_line"), both("grams", "gram_line")
+    use = spoken[features[1]] >= FEW_WORDS * (1 - SLACK)
+    keys, of = _blocks(features[0][use], features[1][use], n, 0)
+    use = spoken[grams[1]] < FEW_WORDS * (1 + SLACK)
+    more, of_more = _blocks(grams[0][use], grams[1][use], n, 1)
+    keys, of = np.concatenate([keys, more]), np.concatenate([of, of_more])
+    order = np.argsort(of, kind="stable")
+    return {"line": whole.view(np.int64), "chars": chars, "letters": added("letters"),
+            "keys": keys[order].view(np.int64), "n_keys": np.bincount(of, minlength=n)}
+
+
 def _keyed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     """The rows with _gl_row: the id (null: the largest number) and a hash of the text."""
     key = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"),
@@ -86,55 +239,55 @@ def _keyed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     return docs.withColumn(_ROW, key)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """id, h, pos, line (hash), sim, words, chars per line of id, h, text."""
-    def facts(ids: list, hs: list, texts: list[list[str]]) -> pd.DataFrame:
-        lines = [line for own in texts for line in own]
-        sizes = [len(own) for own in texts]
-        whole, sim, words = hashed(lines)
-        places = np.arange(len(lines)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return pd.DataFrame({
-            "id": np.repeat(np.array(ids, np.int64), sizes), "h": np.repeat(np.array(hs, np.int64), sizes),
-            "pos": places.astype(np.int32), "line": whole, "sim": sim, "words": words.astype(np.int32),
-            "chars": np.fromiter(map(len, lines), np.int32, len(lines))})
+def _low(text: str | None) -> bytes:
+    return (text or "").lower().encode("utf-8", "replace")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """id, h, pos, line (hash), chars, keys per compared line of id, h, text."""
+    def rows(ids: list[int], hs: list[int], texts: list[bytes]) -> pa.RecordBatch:
+        sizes = np.array([t.count(b"\n") + 1 for t in texts])
+        f = facts(b"\n".join(texts))
+        doc = np.repeat(np.arange(len(texts)), sizes)
+        pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        kept = f["letters"] >= min_chars
+        keys = f["keys"][np.repeat(kept, f["n_keys"])]
+        bounds = np.concatenate([[0], np.cumsum(f["n_keys"][kept])]).astype(np.int32)
+        columns = [pa.array(np.array(ids, np.int64)[doc[kept]]), pa.array(np.array(hs, np.int64)[doc[kept]]),
+                   pa.array(pos[kept].astype(np.int32)), pa.array(f["line"][kept]), pa.array(f["chars"][kept].astype(np.int32)),
+                   pa.ListArray.from_arrays(bounds, keys)]
+        return pa.RecordBatch.from_arrays(columns, ["id", "h", "pos", "line", "chars", "keys"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hs, texts, chars = [], [], [], 0
-            for doc, h, text in zip(batch["id"], batch["h"], batch["text"], strict=True):
-                ids.append(doc)
-                hs.append(h)
-                texts.append(text.split("\n"))
-                chars += len(text)
-                if chars > PART // 8:  # enough texts for one go
-                    yield facts(ids, hs, texts)
-                    ids, hs, texts, chars = [], [], [], 0
+            ids, hs, texts, size = [], [], [], 0
+            for doc, h, text in zip(*(batch.column(k) for k in range(3)), strict=True):
+                ids.append(doc.as_py())
+                hs.append(h.as_py())
+                texts.append(_low(text.as_py()))
+                size += len(texts[-1])
+                if size > PART // 4:  # enough texts for one go
+                    yield rows(ids, hs, texts)
+                    ids, hs, texts, size = [], [], [], 0
             if ids:
-                yield facts(ids, hs, texts)
+                yield rows(ids, hs, texts)
 
-    return docs.mapInPandas(run, "id long, h long, pos int, line long, sim long, words int, chars int")
+    return docs.mapInArrow(run, "id long, h long, pos int, line long, chars int, keys array<long>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
+    """id (hash) and text of every line as it is compared."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for text in batch["text"]:
-                lines = text.split("\n")
-                rows += [x for x in zip(hashed(lines)[0].tolist(), lines, strict=True) if x[1]]
+                data = _low(text)
+                rows += [(h, b" ".join(line.split()).decode()) for h, line in zip(facts(data)["line"].tolist(), data.split(b"\n"), strict=True)]
             yield pd.DataFrame(rows, columns=["id", "text"])
 
     return docs.mapInPandas(run, "id long, text string")
 
 
-def _blocks() -> list[int]:
-    """Masks of all choices of BLOCKS - APART blocks, as signed numbers."""
-    edges = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
-    blocks = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(BLOCKS)]
-    masks = [sum(x) for x in itertools.combinations(blocks, BLOCKS - APART)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
-
-
 def edit_distance(a: str, b: str, most: int) -> int:
     """Edits between two texts, or a number over `most`. Bit-parallel after common ends are cut off."""
     at = 0
@@ -166,31 +319,33 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return score
 
 
-@F.pandas_udf(T.DoubleType())
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b, strict=True):
-        longest = max(len(x), len(y), 1)
-        out.append(1 - edit_distance(x, y, longest // 2) / longest)
-    return pd.Series(out)
+def _alike(similarity: float):
+    @F.pandas_udf(T.BooleanType())
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            most = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
+            out.append(edit_distance(x, y, most) <= most)
+        return pd.Series(out, dtype=bool)
+
+    return alike
 
 
-def removals(docs: DataFrame, similarity: float = 0.9, min_words: int = 2, id_col: str = "doc_id",
+def removals(docs: DataFrame, similarity: float = 0.9, min_chars: int = 8, id_col: str = "doc_id",
              text: str = "text") -> DataFrame:
     """_gl_row and _gl_gone, the places (from 0) of its lines that go, for rows that lose lines."""
-    bare = _keyed(docs, text, id_col).select(f"{_ROW}.id", f"{_ROW}.h", compared(F.col(text)).alias("text"))
-    lines = materialize(_lines(bare).where(F.col("words") >= min_words))
+    bare = _keyed(docs, text, id_col).select(f"{_ROW}.id", f"{_ROW}.h", F.col(text).alias("text"))
+    lines = materialize(_lines(bare, min_chars))
     place = F.struct("id", "h", "pos")
     distinct = materialize(lines.groupBy("line").agg(
-        F.min(place).alias("first"), F.count("*").alias("n"), F.min("sim").alias("sim"), F.min("chars").alias("chars")))
-    about = distinct.select(F.col("line").alias("id"), "sim", "chars")
-    masks = F.array(*[F.lit(m).cast("long") for m in _blocks()])
-    keyed = about.select("id", F.posexplode(F.transform(masks, lambda m: m.bitwiseAND(F.col("sim")))).alias("n", "bits"))
-    keyed = keyed.select(F.xxhash64("n", "bits").alias("key"), "id")
+        F.min(place).alias("first"), F.count("*").alias("n"), F.min("chars").alias("chars")))
+    about = distinct.select(F.col("line").alias("id"), "chars")
+    # copies of a line have the same keys and are put together before they travel
+    keyed = lines.select(F.explode("keys").alias("key"), F.col("line").alias("id")).distinct()
 
     def close(a, b):
         low, high = F.least(a("chars"), b("chars")), F.greatest(a("chars"), b("chars"))
-        return (F.bit_count(a("sim").bitwiseXOR(b("sim"))) <= APART) & (low >= high * similarity)
+        return low >= high * similarity
 
     def verify(pairs: DataFrame) -> DataFrame:
         met = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
@@ -200,8 +355,7 @@ def removals(docs: DataFrame, similarity: float = 0.9, min_words: int = 2, id_co
         found = materialize(found)
         a = found.select(F.col("id").alias("a"), F.col("text").alias("a_text"))
         b = found.select(F.col("id").alias("b"), F.col("text").alias("b_text"))
-        both = pairs.join(a, "a").join(b, "b").where(_similarity("a_text", "b_text") >= similarity)
-        return both.select("a", "b")
+        return pairs.join(a, "a").join(b, "b").where(_alike(similarity)("a_text", "b_text")).select("a", "b")
 
     groups = components(link(keyed, about, close, verify)).withColumnRenamed("id", "_line")
     named = distinct.join(groups, F.col("line") == F.col("_line"), "left").where("n > 1 OR component IS NOT NULL").select(
@@ -213,10 +367,10 @@ def removals(docs: DataFrame, similarity: float = 0.9, min_words: int = 2, id_co
         F.struct("id", "h").alias(_ROW), "_gl_gone")
 
 
-def dedup_lines(docs: DataFrame, similarity: float = 0.9, min_words: int = 2, id_col: str = "doc_id",
+def dedup_lines(docs: DataFrame, similarity: float = 0.9, min_chars: int = 8, id_col: str = "doc_id",
                 text: str = "text", into: str = "removed_lines") -> DataFrame:
     """The rows with the text that stays and, in `into`, the places of the lines that went."""
-    gone = removals(docs, similarity, min_words, id_col, text)
+    gone = removals(docs, similarity, min_chars, id_col, text)
     rows = _keyed(docs, text, id_col).join(gone, _ROW, "left")
     lost = F.coalesce("_gl_gone", F.array().cast("array<int>"))
     left = F.filter(F.split(F.col(text), "\n"), lambda line, k: ~F.array_contains(lost, k))
