@@ -3,7 +3,7 @@
 A batch of texts becomes one array of code points, the pieces are found by comparing neighbours'
 classes, and each piece gets a 64-bit hash from prefix sums. `PieceCache` turns pieces into token
 ids: only pieces it hasn't met go through Python one by one. Two pieces of one worker's cache would
-have to share a 64-bit hash to be confused; with `CACHE_PIECES` entries the odds are below 1e-7.
+have to share a 64-bit hash to be confused; with `CACHE_PIECES` entries the odds are below 1e-8.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import numpy as np
 import regex
 from tokenizers import Regex, normalizers
 
+from gridloom.llm.parity_join import _ODD, PART, _tables
+
 LETTER, NUMBER, SPACE, OTHER, EDGE = range(5)
 #: Above every code point: stands between texts. The special token number k stands as END + 1 + k.
 END = 0x110000
@@ -23,8 +25,7 @@ _SPECIALS = 16
 #: Code points worked on at once; longer texts are cut where no piece can cross.
 BLOCK = 1 << 19
 #: Pieces one Python worker remembers before it starts anew: bounds its memory, not the results.
-CACHE_PIECES = 1_000_000
-_ODD = 0x9E3779B97F4A7C15
+CACHE_PIECES = 150_000
 _MASK = (1 << 64) - 1
 
 
@@ -68,9 +69,12 @@ def _values() -> np.ndarray:
     return np.random.default_rng(20).integers(1, 1 << 63, END + 1 + _SPECIALS, np.uint64)
 
 
-@functools.lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of an odd number and of its inverse, modulo 2^64."""
+    """The powers of an odd number and of its inverse, modulo 2^64: the table this subpackage shares, or a
+    longer one for this call."""
+    if n <= 2 * PART:
+        powers, inverse = _tables()[2:]
+        return powers[:n], inverse[:n]
     out = []
     for base in (_ODD, pow(_ODD, -1, 1 << 64)):
         powers = np.ones(1, np.uint64)
@@ -179,7 +183,7 @@ def hashes(codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 class PieceCache:
     """Token ids of pieces. A direct-mapped table answers most; a dict the rest; `encode` new ones."""
 
-    _BITS = 21
+    _BITS = 17
 
     def __init__(self, splitter: Splitter, special_ids: list[int], encode: Callable[[str], list[int]]):
         self.splitter, self.special_ids, self.encode = splitter, special_ids, encode

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.lineage import materialize
+from gridloom.llm.parity_join import _tables
 
 BITS = 20
 #: Bytes of a word's beginnings that are features of their own.
@@ -37,25 +38,18 @@ BEGINNINGS = (4, 6)
 LEAST_DOCS = 4
 FOLDS = 3
 _OTHER = regex.compile(r"[\W_]+")
-_ODD = 0x9E3779B97F4A7C15
 _PART = 1 << 18
 
 
 @functools.cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    powers = []
-    for base in (_ODD, pow(_ODD, -1, 1 << 64)):
-        row = np.ones(1, np.uint64)
-        while len(row) < 2 * _PART:
-            row = np.concatenate([row, row * np.uint64(pow(base, len(row), 1 << 64))])
-        powers.append(row)
-    return np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64), *powers
+def _values() -> np.ndarray:
+    return np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
 
 
 def features(text: str | None) -> np.ndarray:
     """The sorted feature numbers of a text."""
     data = _OTHER.sub(" ", (text or "").lower()).encode("utf-8", "replace") + b" "
-    values, powers, inverse = _tables()
+    values, (powers, inverse) = _values(), _tables()[2:]
     found, at = [], 0
     while at < len(data):
         # whole words; a word longer than a part is cut
