@@ -35,12 +35,14 @@ from gridloom.llm.graph import by_ids, components, link
 from gridloom.llm.parity_join import PART, _mix, _tables
 
 #: Features to a block of the SimHash, of words and of windows, and the fewest a block needs to be a key.
-TO_BLOCK, FEWEST = (8, 3), (2, 3)
+TO_BLOCK, FEWEST = (8, 4), (4, 4)
 #: Lines with fewer words are known by windows of characters.
 FEW_WORDS = 20
 LONG_WORD, WINDOW = 24, 3
 #: How far apart the numbers of features of alike lines may be, for the choice of the layout.
 SLACK = 0.07
+#: Bits of 64 in which the SimHashes of whole lines may differ (unlike lines: 32 on the average).
+APART = 24
 _ROW = "_gl_row"
 
 
@@ -86,9 +88,9 @@ def _windows(first: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.
 
 
 class _Scan:
-    """Word hashes and features of the lines of a piece of text, of at most 2 PART bytes."""
+    """Word hashes and, if asked, features of the lines of a piece of text, of at most 2 PART bytes."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, keys: bool):
         space, spoken, read = _kinds()
         inverse = _tables()[3]
         codes = np.frombuffer(data, np.uint8)
@@ -105,6 +107,8 @@ class _Scan:
         self.word_line = np.searchsorted(ends, begin)
         chars = np.concatenate([[0], np.cumsum(first)])
         self.word_chars = chars[end] - chars[begin]
+        if not keys:
+            return
 
         codes = read[codes]
         begin, end = _spans(codes != 32)
@@ -133,6 +137,15 @@ def _layouts(sizes: np.ndarray, to_block: int) -> list[np.ndarray]:
     return [low, np.where(high > low, high, 0)]
 
 
+def _votes(hashes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many of the hashes of each stretch have each of the 64 bits."""
+    # counters of eight bits hold up to 255 votes, so longer stretches are counted in parts
+    parts = -(-size // 255)
+    begin = np.repeat(start, parts) + 255 * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    votes = np.add.reduceat(_lanes()[hashes.view(np.uint8).reshape(-1, 8)], begin, axis=0).view(np.uint8).astype(np.int32)
+    return np.add.reduceat(votes, np.cumsum(parts) - parts, axis=0) if len(begin) > len(start) else votes
+
+
 def _blocks(features: np.ndarray, line: np.ndarray, lines: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
     """The keys of all lines' blocks, and the line of each."""
     keys, of = [], []
@@ -156,15 +169,7 @@ def _blocks(features: np.ndarray, line: np.ndarray, lines: int, kind: int) -> tu
         place, own = place[order], own[order]
         start = np.flatnonzero(np.diff(place, prepend=-1))
         size = np.diff(np.append(start, len(place)))
-        # counters of eight bits hold up to 255 votes, so larger blocks are counted in stretches
-        stretches = -(-size // 255)
-        begin = np.repeat(start, stretches) + 255 * (np.arange(stretches.sum()) - np.repeat(np.cumsum(stretches) - stretches, stretches))
-        votes = np.add.reduceat(_lanes()[own.view(np.uint8).reshape(-1, 8)], begin, axis=0).view(np.uint8)
-        if len(begin) > len(start):
-            votes = np.add.reduceat(votes.astype(np.int64), np.cumsum(stretches) - stretches, axis=0)
-            bits = 2 * votes > size[:, None]
-        else:
-            bits = votes > (size[:, None] // 2).astype(np.uint8)
+        bits = 2 * _votes(own, start, size) > size[:, None]
         sim = np.packbits(bits, axis=1).view(np.uint64)[:, 0]
         named = at[order][start], block[order][start]
         number = (named[1] + (blocks[named[0]] << 32) + kind).astype(np.uint64)
@@ -193,11 +198,24 @@ def _pieces(data: bytes) -> list[tuple[bytes, bool]]:
     return [*out, (data[at:], False)]
 
 
-def facts(data: bytes) -> dict[str, np.ndarray]:
-    """Of each line of a text in lower case: hash, characters, letters, and the keys with their lines."""
+def _whole(features: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
+    """The SimHash of each line over all its features."""
+    out = np.zeros(lines, np.uint64)
+    order = np.argsort(line, kind="stable")
+    if len(order):
+        start = np.flatnonzero(np.diff(line[order], prepend=-1))
+        size = np.diff(np.append(start, len(order)))
+        votes = _votes(features[order], start, size)
+        out[line[order][start]] = np.packbits(2 * votes > size[:, None], axis=1).view(np.uint64)[:, 0]
+    return out
+
+
+def facts(data: bytes, keys: bool = True) -> dict[str, np.ndarray]:
+    """Of each line of a text in lower case: hash, characters, letters and, if asked, its SimHash, keys and
+    how many they are."""
     scans, first, at = [], [], 0
     for piece, goes_on in _pieces(data):
-        scan = _Scan(piece)
+        scan = _Scan(piece, keys)
         scans.append(scan)
         first.append(at)
         at += scan.lines - goes_on
@@ -221,15 +239,18 @@ def facts(data: bytes) -> dict[str, np.ndarray]:
     whole = _mix(sums[start + size] - sums[start] + size.astype(np.uint64))
     chars = np.bincount(line, both("word_chars", "word_line")[0], n).astype(np.int64) + np.maximum(size - 1, 0)
 
+    out = {"line": whole.view(np.int64), "chars": chars, "letters": added("letters")}
+    if not keys:
+        return out
     spoken, features, grams = added("spoken"), both("features", "feature_line"), both("grams", "gram_line")
     use = spoken[features[1]] >= FEW_WORDS * (1 - SLACK)
-    keys, of = _blocks(features[0][use], features[1][use], n, 0)
+    found, of = _blocks(features[0][use], features[1][use], n, 0)
     use = spoken[grams[1]] < FEW_WORDS * (1 + SLACK)
     more, of_more = _blocks(grams[0][use], grams[1][use], n, 1)
-    keys, of = np.concatenate([keys, more]), np.concatenate([of, of_more])
+    found, of = np.concatenate([found, more]), np.concatenate([of, of_more])
     order = np.argsort(of, kind="stable")
-    return {"line": whole.view(np.int64), "chars": chars, "letters": added("letters"),
-            "keys": keys[order].view(np.int64), "n_keys": np.bincount(of, minlength=n)}
+    return out | {"sim": _whole(*features, n).view(np.int64), "keys": found[order].view(np.int64),
+                  "n_keys": np.bincount(of, minlength=n)}
 
 
 def _keyed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
@@ -244,7 +265,7 @@ def _low(text: str | None) -> bytes:
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """id, h, pos, line (hash), chars, keys per compared line of id, h, text."""
+    """id, h, pos, line (hash), sim, chars, keys per compared line of id, h, text."""
     def rows(ids: list[int], hs: list[int], texts: list[bytes]) -> pa.RecordBatch:
         sizes = np.array([t.count(b"\n") + 1 for t in texts])
         f = facts(b"\n".join(texts))
@@ -254,9 +275,9 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
         keys = f["keys"][np.repeat(kept, f["n_keys"])]
         bounds = np.concatenate([[0], np.cumsum(f["n_keys"][kept])]).astype(np.int32)
         columns = [pa.array(np.array(ids, np.int64)[doc[kept]]), pa.array(np.array(hs, np.int64)[doc[kept]]),
-                   pa.array(pos[kept].astype(np.int32)), pa.array(f["line"][kept]), pa.array(f["chars"][kept].astype(np.int32)),
+                   pa.array(pos[kept].astype(np.int32)), pa.array(f["line"][kept]), pa.array(f["sim"][kept]), pa.array(f["chars"][kept].astype(np.int32)),
                    pa.ListArray.from_arrays(bounds, keys)]
-        return pa.RecordBatch.from_arrays(columns, ["id", "h", "pos", "line", "chars", "keys"])
+        return pa.RecordBatch.from_arrays(columns, ["id", "h", "pos", "line", "sim", "chars", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,18 +293,26 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
             if ids:
                 yield rows(ids, hs, texts)
 
-    return docs.mapInArrow(run, "id long, h long, pos int, line long, chars int, keys array<long>")
+    return docs.mapInArrow(run, "id long, h long, pos int, line long, sim long, chars int, keys array<long>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     """id (hash) and text of every line as it is compared."""
+    def rows(texts: list[bytes]) -> pd.DataFrame:
+        data = b"\n".join(texts)
+        return pd.DataFrame({"id": facts(data, keys=False)["line"], "text": [b" ".join(x.split()).decode() for x in data.split(b"\n")]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            texts, size = [], 0
             for text in batch["text"]:
-                data = _low(text)
-                rows += [(h, b" ".join(line.split()).decode()) for h, line in zip(facts(data)["line"].tolist(), data.split(b"\n"), strict=True)]
-            yield pd.DataFrame(rows, columns=["id", "text"])
+                texts.append(_low(text))
+                size += len(texts[-1])
+                if size > PART // 4:
+                    yield rows(texts)
+                    texts, size = [], 0
+            if texts:
+                yield rows(texts)
 
     return docs.mapInPandas(run, "id long, text string")
 
@@ -338,14 +367,14 @@ def removals(docs: DataFrame, similarity: float = 0.9, min_chars: int = 8, id_co
     lines = materialize(_lines(bare, min_chars))
     place = F.struct("id", "h", "pos")
     distinct = materialize(lines.groupBy("line").agg(
-        F.min(place).alias("first"), F.count("*").alias("n"), F.min("chars").alias("chars")))
-    about = distinct.select(F.col("line").alias("id"), "chars")
+        F.min(place).alias("first"), F.count("*").alias("n"), F.min("sim").alias("sim"), F.min("chars").alias("chars")))
+    about = distinct.select(F.col("line").alias("id"), "sim", "chars")
     # copies of a line have the same keys and are put together before they travel
     keyed = lines.select(F.explode("keys").alias("key"), F.col("line").alias("id")).distinct()
 
     def close(a, b):
         low, high = F.least(a("chars"), b("chars")), F.greatest(a("chars"), b("chars"))
-        return low >= high * similarity
+        return (low >= high * similarity) & (F.bit_count(a("sim").bitwiseXOR(b("sim"))) <= APART)
 
     def verify(pairs: DataFrame) -> DataFrame:
         met = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
