@@ -20,10 +20,10 @@ def canonical(spark, *rows, maps=None):
 
 
 def test_aliases_and_numbers(spark):
-    row, = canonical(spark, ("PRODUCT", [("Product Name", "Kilimanjaro 7-Day"), ("SKU", "TZ-KILI-7D"),
-                                         ("Price", "2,450"), ("Currency", "USD")]))
-    assert (row.data.name, row.data.price, row.data.currency) == ("Kilimanjaro 7-Day", 2450.0, "USD")
-    assert (row.key_code, row.dedupe_key, row.validation_errors) == ("tz-kili-7d", "tz-kili-7d", [])
+    row, = canonical(spark, ("PRODUCT", [("Product Name", "Harbour Walk 3h"), ("SKU", "NO-HRB-3"),
+                                         ("Price", "1,875"), ("Currency", "USD")]))
+    assert (row.data.name, row.data.price, row.data.currency) == ("Harbour Walk 3h", 1875.0, "USD")
+    assert (row.key_code, row.dedupe_key, row.validation_errors) == ("no-hrb-3", "no-hrb-3", [])
     assert (row.record_id, row.status) == ("b:0:0", "DRAFT")
 
 
@@ -42,11 +42,11 @@ def test_explicit_mapping_has_no_alias_behind_it(spark):
 
 def test_errors_keep_best_effort_data(spark):
     row, blank, none, person = canonical(
-        spark, ("TRAVELER", [("Email", "not-an-email"), ("Name", "Ana Vidal")]),
+        spark, ("TRAVELER", [("Email", "mira at home"), ("Name", "Mira Lindqvist")]),
         ("PRODUCT", [("name", "  ")]), ("PRODUCT", [("name", "")]),
         ("GUIDE", [("guide", "\t"), ("e-mail", " A@B.co ")]))
     assert row.validation_errors == ["email: Invalid email"]
-    assert (row.data.fullName, row.key_name, row.key_email) == ("Ana Vidal", "ana vidal", "not-an-email")
+    assert (row.data.fullName, row.key_name, row.key_email) == ("Mira Lindqvist", "mira lindqvist", "mira at home")
     assert blank.validation_errors == ["name: String must contain at least 1 character(s)"]
     assert (blank.data.name, blank.key_name) == ("", None)
     assert none.validation_errors == ["name: Required"]
@@ -61,7 +61,7 @@ def test_headers_with_one_key_last_wins_and_blank_hits_fall_through(spark):
     assert row.data.name == "third"
 
 
-NUMBERS = {"2,450": 2450.0, "N/A": 0.0, "1-2": None, "1e5": 15.0, "€1.234,56": 1.23456, "-": None, "5.": 5.0,
+NUMBERS = {"1,875": 1875.0, "N/A": 0.0, "1-2": None, "1e5": 15.0, "€1.234,56": 1.23456, "-": None, "5.": 5.0,
            ".5": 0.5, " ": 0.0, "": None, "-0.5": -0.5, "--5": None, "9" * 400: None, None: None}
 DATES = {
     "2026-07-01": "2026-07-01T00:00:00.000Z", "2026-07-01T10:00": "2026-07-01T10:00:00.000Z",
