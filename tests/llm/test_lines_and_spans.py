@@ -107,9 +107,11 @@ def test_different_lines_stay_and_lines_of_one_word_count(spark):
     pairs = [("grand total 5", "grand total 987654"), ("x = alpha + b", "x = alpha - beta"), ("port 22 open", "port 8080 open"),
              ("2021 4 17 05:30", "1999 8 3 11:20"), ("}", "}"), ("of the", "of the")]
     docs = [(k, "\n".join(p[k] for p in pairs)) for k in range(2)]
-    docs += [(5, "Supercalifragilistic"), (6, "supercalifragilistic"), (7, "supercalifragilistik"), (8, "漢字仮名交文章例題集"), (9, "漢字仮名交文章例題集")]
+    long = "".join(map(chr, range(0x4E00, 0x4E50)))
+    docs += [(5, "Supercalifragilistic"), (6, "supercalifragilistic"), (7, long + "漢" + long[::-1]), (8, "漢字仮名交文章例題集"),
+             (9, "漢字仮名交文章例題集"), (10, long + "字" + long[::-1])]
     got = {r.doc_id: r for r in fuzzy_lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert [got[i].removed_lines for i in (0, 1, 5, 6, 7, 8, 9)] == [[], [], [], [0], [0], [], [0]]
+    assert [got[i].removed_lines for i in (0, 1, 5, 6, 7, 8, 9, 10)] == [[], [], [], [0], [], [], [0], [0]]
     assert got[0].text == docs[0][1] and got[1].text == docs[1][1]
 
 
