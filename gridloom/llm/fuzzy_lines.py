@@ -42,7 +42,7 @@ LONG_WORD, WINDOW = 24, 3
 #: How far apart the numbers of features of alike lines may be, for the choice of the layout.
 SLACK = 0.07
 #: Bits of 64 in which the SimHashes of whole lines may differ (unlike lines: 32 on the average).
-APART = 24
+APART = 18
 _ROW = "_gl_row"
 
 
