@@ -20,7 +20,10 @@ a time; memory grows with the longer of the two.
 
 from __future__ import annotations
 
+import bisect
+import collections
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.lineage import materialize
-from gridloom.llm.graph import by_ids, components, link
+from gridloom.llm.graph import SENT_IDS, components, link
 from gridloom.llm.parity_join import PART, _mix, _tables
 
 #: Features to a block of the SimHash, of words and of windows, and the fewest a block needs to be a key.
@@ -43,6 +46,8 @@ LONG_WORD, WINDOW = 24, 3
 SLACK = 0.07
 #: Bits of 64 in which the SimHashes of whole lines may differ (unlike lines: 32 on the average).
 APART = 18
+#: Shorter texts are compared as a whole at once.
+LONG_TEXT = 160
 _ROW = "_gl_row"
 
 
@@ -296,25 +301,20 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, h long, pos int, line long, sim long, chars int, keys array<long>")
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """id (hash) and text of every line as it is compared."""
-    def rows(texts: list[bytes]) -> pd.DataFrame:
-        data = b"\n".join(texts)
-        return pd.DataFrame({"id": facts(data, keys=False)["line"], "text": [b" ".join(x.split()).decode() for x in data.split(b"\n")]})
+@F.pandas_udf(T.StringType())
+def _compared(line: pd.Series) -> pd.Series:
+    return line.map(lambda x: b" ".join(_low(x).split()).decode())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts, size = [], 0
-            for text in batch["text"]:
-                texts.append(_low(text))
-                size += len(texts[-1])
-                if size > PART // 4:
-                    yield rows(texts)
-                    texts, size = [], 0
-            if texts:
-                yield rows(texts)
 
-    return docs.mapInPandas(run, "id long, text string")
+def _texts(bare: DataFrame, places: DataFrame) -> DataFrame:
+    """line (hash) and its text as it is compared, for places (line, id, h, pos) in id, h, text."""
+    few = places.count() <= SENT_IDS
+    spots = places.groupBy("id", "h").agg(F.collect_list(F.struct("line", "pos")).alias("spots"))
+    split = bare.join(F.broadcast(spots) if few else spots, ["id", "h"]).select("spots", F.split("text", "\n").alias("_lines"))
+    found = split.select(F.inline(F.transform("spots", lambda s: F.struct(
+        s["line"].alias("line"), F.get("_lines", s["pos"]).alias("text")))))
+    # repeated rows have the same places
+    return found.groupBy("line").agg(F.min("text").alias("text")).select("line", _compared("text").alias("text"))
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -348,13 +348,60 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return score
 
 
+def _places(text: str) -> dict[tuple[str, ...], int]:
+    """Where three words in a row begin that a text has once; -1 for those it has more often."""
+    words = text.split(" ")
+    begins = itertools.accumulate((len(w) + 1 for w in words), initial=0)
+    out: dict[tuple[str, ...], int] = {}
+    for three, at in zip(zip(words, words[1:], words[2:], strict=False), begins, strict=False):
+        out[three] = -1 if three in out else at
+    return out
+
+
+def edits_at_most(a: str, b: str, most: int) -> bool:
+    """Whether `most` edits or fewer lie between two texts.
+
+    Long texts are first cut where both have the same three words in the same order: the edits of the parts
+    are enough. Texts whose windows of three characters differ by more than six for each edit allowed are too
+    far apart. Only what is left is compared as a whole.
+    """
+    if max(len(a), len(b)) < LONG_TEXT:
+        return edit_distance(a, b, most) <= most
+    if abs(len(a) - len(b)) > most:
+        return False
+    there = _places(b)
+    both = [(at, there[three]) for three, at in _places(a).items() if at >= 0 and there.get(three, -1) >= 0]
+    ends, last, before = [], [], []
+    for k, (_, at) in enumerate(both):
+        rank = bisect.bisect_left(ends, at)
+        ends[rank:rank + 1], last[rank:rank + 1] = [at], [k]
+        before.append(last[rank - 1] if rank else -1)
+    chain, k = [(len(a), len(b))], last[-1] if last else -1
+    while k >= 0:
+        chain.append(both[k])
+        k = before[k]
+    edits, x, y = 0, 0, 0
+    if len(chain) > 1:
+        for p, q in reversed(chain):
+            if a[x:p] != b[y:q]:
+                edits += edit_distance(a[x:p], b[y:q], most - edits)
+            if edits > most:
+                break
+            x, y = p, q
+        else:
+            return True
+    windows = collections.Counter(map("".join, zip(a, a[1:], a[2:], strict=False)))
+    windows.subtract(map("".join, zip(b, b[1:], b[2:], strict=False)))
+    return sum(map(abs, windows.values())) <= 6 * most and edit_distance(a, b, most) <= most
+
+
 def _alike(similarity: float):
     @F.pandas_udf(T.BooleanType())
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b, strict=True):
             most = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
-            out.append(edit_distance(x, y, most) <= most)
+            out.append(edits_at_most(x, y, most))
         return pd.Series(out, dtype=bool)
 
     return alike
@@ -366,24 +413,23 @@ def removals(docs: DataFrame, similarity: float = 0.9, min_chars: int = 8, id_co
     bare = _keyed(docs, text, id_col).select(f"{_ROW}.id", f"{_ROW}.h", F.col(text).alias("text"))
     lines = materialize(_lines(bare, min_chars))
     place = F.struct("id", "h", "pos")
+    # copies of a line have the same keys and are put together before the keys are dealt
     distinct = materialize(lines.groupBy("line").agg(
-        F.min(place).alias("first"), F.count("*").alias("n"), F.min("sim").alias("sim"), F.min("chars").alias("chars")))
+        F.min(place).alias("first"), F.count("*").alias("n"), F.min("sim").alias("sim"), F.min("chars").alias("chars"),
+        F.any_value("keys").alias("keys")))
     about = distinct.select(F.col("line").alias("id"), "sim", "chars")
-    # copies of a line have the same keys and are put together before they travel
-    keyed = lines.select(F.explode("keys").alias("key"), F.col("line").alias("id")).distinct()
+    keyed = distinct.select(F.explode("keys").alias("key"), F.col("line").alias("id"))
 
     def close(a, b):
         low, high = F.least(a("chars"), b("chars")), F.greatest(a("chars"), b("chars"))
         return (low >= high * similarity) & (F.bit_count(a("sim").bitwiseXOR(b("sim"))) <= APART)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        met = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        homes = distinct.withColumnRenamed("line", "_line").join(met, F.col("_line") == met["id"], "left_semi")
-        homes = materialize(homes.select("first.id").distinct())
-        found = by_ids(_texts(by_ids(bare, homes, "left_semi")), met, "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-        found = materialize(found)
-        a = found.select(F.col("id").alias("a"), F.col("text").alias("a_text"))
-        b = found.select(F.col("id").alias("b"), F.col("text").alias("b_text"))
+        met = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
+        places = materialize(distinct.select("line", "first.*").join(met, "line", "left_semi"))
+        found = materialize(_texts(bare, places))
+        a = found.select(F.col("line").alias("a"), F.col("text").alias("a_text"))
+        b = found.select(F.col("line").alias("b"), F.col("text").alias("b_text"))
         return pairs.join(a, "a").join(b, "b").where(_alike(similarity)("a_text", "b_text")).select("a", "b")
 
     groups = components(link(keyed, about, close, verify)).withColumnRenamed("id", "_line")

@@ -17,6 +17,23 @@ def test_edit_distance():
         assert near == edit_distance(a, b) if edit_distance(a, b) <= 3 else near > 3
 
 
+def test_edits_of_long_texts_are_bounded_as_by_the_distance():
+    rng = random.Random(4)
+    words = [x for t in invented(6, 9, words=40) for x in t.split()]
+    lines = [" ".join(rng.choice(words) for _ in range(rng.randint(26, 40))) for _ in range(4)]
+    lines += ["".join(map(chr, (rng.randrange(0x4E00, 0x4E20) for _ in range(180)))), "ab " * 60]
+    decided = set()
+    for line in lines:
+        for edits in (0, 3, 9):
+            other = varied(rng, line, edits)
+            for a, b in ((line, other), (other, line), (line, " ".join(reversed(other.split(" ")))), (line, lines[0])):
+                exact = edit_distance(a, b)
+                for most in (0, exact - 1, exact, exact + 7, len(line) // 10):
+                    assert fuzzy_lines.edits_at_most(a, b, most) == (exact <= most)
+                decided.add(exact <= len(line) // 10)
+    assert decided == {True, False}
+
+
 def compared(text):
     return [" ".join(line.split()) for line in (text or "").lower().split("\n")]
 
