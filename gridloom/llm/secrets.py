@@ -1,13 +1,15 @@
 """Secret scan: candidates by shape, false positives removed by a random forest.
 
-A candidate is a run of 16 or more letters, digits and + / _ - inside a word. The forest sees its
+A candidate is any run of 16 or more letters, digits and + / _ - inside a word, a token of three or more such
+parts joined by dots, or the value, of 6 characters or more and with any marks, that is assigned to a name like
+`password`, in the same word or the next. A word has as many candidates as it holds. The forest sees its
 length, how often the kind of character changes, how varied and of which kinds they are, how much of
 it a dictionary covers (the four-letter parts of words that the corpus itself uses often), the path
 it stands under, and the words around it. It is trained on labelled findings.
 
 `findings_by_rule` gives such labels where nobody has labelled any: provider keys of a fixed form and
 random-looking values behind a word like `password` are secrets; values without any digit, plain
-numbers and values beside words like `example` are not; the rest has no label and is left to the
+numbers and values that hold a word like `example`, or are assigned to such a name, are not; the rest has no label and is left to the
 forest. Training takes about `sample` labelled findings, chosen by a hash. If only one kind of label
 occurs, findings labelled as secrets are reported as such.
 
@@ -27,14 +29,19 @@ from pyspark.sql import functions as F
 
 from gridloom.lineage import materialize
 
-RUN = r"[A-Za-z0-9+/_\-]{16,}"
+RUN = r"[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]{8,}){2,}|[A-Za-z0-9+/_\-]{16,}"
 #: Times a word has to occur in the corpus to stand in the dictionary.
 OFTEN = 20
 _ROW = "_gl_row"
 # Words that announce a secret, words of examples, and public forms of provider keys.
-_ANNOUNCED = r"(?i)pass(?:word|wd|phrase)?|secret|token|api.?key|access.?key|auth|bearer|credential|private"
+_ANNOUNCED = r"(?i)pass(?:word|wd|phrase)?|pwd|secret|token|api.?key|access.?key|auth|bearer|credential|private"
 _EXAMPLE = r"(?i)example|sample|dummy|placeholder|changeme|fake|your[_-]"
-_PROVIDER = r"^(?:A(?:KIA|SIA|ROA|IDA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_\-]{35}|sk_live_[A-Za-z0-9]{16,})$"
+_PROVIDER = r"^(?:A(?:KIA|SIA|ROA|IDA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_\-]{35}|eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+|sk_live_[A-Za-z0-9]{16,})$"
+_NAME = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api.?key|access.?key|auth|credential|private.?key)[A-Za-z0-9_\-]{0,20}[\"'`]?"
+# a value assigned in the same word, the words before a value, and such a value without its quotes
+_ASSIGNED_VALUE = rf"(?i){_NAME}[=:]+[\"'`]?([^\s\"'`,;&<>=:]{{6,}})"
+_ASSIGNMENT = rf"(?i){_NAME}\s*[=:]+[\"'`]?$"
+_BARE_VALUE = r"^[\"'`(\[]*([^\s\"'`]{6,}?)[\"'`)\],;.]*$"
 _TEST_PATH = r"(?i)test|example|sample|mock|fixture|doc"
 FEATURES = (
     "length", "changes", "digits", "upper", "lower", "variety", "coverage", "longest_word", "hexadecimal",
@@ -48,18 +55,19 @@ def _row(id_col: str, text: str) -> Column:
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """_gl_row (id and text hash), place (number of the word), value and what stands around it."""
-    some = docs.where(F.col(text).rlike(RUN)).select(
+    some = docs.where(F.col(text).rlike(rf"{RUN}|(?i){_NAME}\s*[=:]")).select(
         _row(id_col, text).alias(_ROW), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"),
         F.split(F.col(text), r"\s+").alias("_words"))
     found = some.select(_ROW, "path", F.inline(F.filter(
         F.transform("_words", lambda w, k: F.struct(
             k.alias("place"), w.alias("word"),
-            F.concat_ws(" ", F.get("_words", k - 2), F.get("_words", k - 1)).alias("before"),
-            F.coalesce(F.get("_words", k + 1), F.lit("")).alias("after"))),
-        lambda s: s["word"].rlike(RUN))))
-    value = F.regexp_extract("word", RUN, 0)
-    found = found.withColumn("value", value).withColumn("lead", F.expr("substring_index(word, value, 1)"))
-    return found.dropDuplicates([_ROW, "place"])
+            F.concat_ws(" ", F.get("_words", k - 2), F.get("_words", k - 1)).alias("before"))),
+        lambda s: s["word"].rlike(rf"{RUN}|(?i){_NAME}[=:]") | s["before"].rlike(_ASSIGNMENT))))
+    next_word = F.when(F.col("before").rlike(_ASSIGNMENT), F.regexp_extract("word", _BARE_VALUE, 1)).otherwise("")
+    values = F.array_distinct(F.concat(F.regexp_extract_all("word", F.lit(RUN), F.lit(0)),
+                                       F.regexp_extract_all("word", F.lit(_ASSIGNED_VALUE), F.lit(1)), F.array(next_word)))
+    found = found.withColumn("value", F.explode(values)).where("value <> ''")
+    return found.withColumn("lead", F.expr("substring_index(word, value, 1)")).dropDuplicates([_ROW, "place", "value"])
 
 
 def dictionary(docs: DataFrame, text: str = "text", often: int = OFTEN) -> DataFrame:
@@ -76,11 +84,14 @@ def _parts(word: Column) -> Column:
 def described(found: DataFrame, known_parts: DataFrame) -> DataFrame:
     """The candidates with the forest's features."""
     value, low = F.col("value"), F.lower("value")
-    parts = found.select(_ROW, "place", F.explode(F.array_distinct(_parts(low))).alias("part"))
-    covered = parts.join(known_parts.withColumn("_known", F.lit(1.0)), "part", "left").groupBy(_ROW, "place").agg(
+    parts = found.select(_ROW, "place", "value", F.explode(F.array_distinct(_parts(low))).alias("part"))
+    covered = parts.join(known_parts.withColumn("_known", F.lit(1.0)), "part", "left").groupBy(_ROW, "place", "value").agg(
         F.avg(F.coalesce("_known", F.lit(0.0))).alias("coverage"))
     length = F.length(value)
     near = F.concat_ws(" ", "before", "lead")
+    # what stands before the value since the last value's end, and the name it is assigned to
+    close = F.regexp_extract(near, r"[^;,&?/]*$", 0)
+    name = F.regexp_extract(near, r"([A-Za-z0-9_.\-]+)[\"'`]?\s*[=:]\W*$", 1)
 
     def share(pattern: str) -> Column:
         return F.regexp_count(value, F.lit(pattern)) / length
@@ -88,7 +99,7 @@ def described(found: DataFrame, known_parts: DataFrame) -> DataFrame:
     def flag(condition: Column) -> Column:
         return condition.cast("double")
 
-    return found.join(covered, [_ROW, "place"]).withColumns({
+    return found.join(covered, [_ROW, "place", "value"]).withColumns({
         "length": length.cast("double"),
         "changes": F.regexp_count(value, F.lit(
             r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Za-z])|(?<=[0-9])(?=[^0-9])|(?<=[+/_\-])(?=[A-Za-z0-9])")) / length,
@@ -98,8 +109,8 @@ def described(found: DataFrame, known_parts: DataFrame) -> DataFrame:
             F.regexp_extract_all(value, F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.length(w))).cast("double"),
         "hexadecimal": flag(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
         "assigned": flag(near.rlike(r"[=:]\W*$")), "quoted": flag(F.col("lead").rlike("[\"'`]$")),
-        "announced": flag(near.rlike(_ANNOUNCED)),
-        "example": flag(F.concat_ws(" ", near, "after", "value").rlike(_EXAMPLE)),
+        "announced": flag(close.rlike(_ANNOUNCED)),
+        "example": flag(F.concat_ws(" ", name, value).rlike(_EXAMPLE)),
         "test_path": flag(F.col("path").rlike(_TEST_PATH)),
         "path_depth": F.regexp_count("path", F.lit("/")).cast("double"),
     }).fillna(0.0, ["longest_word"])

@@ -65,6 +65,26 @@ def test_secrets_are_told_from_long_words(spark):
     assert clean.where(F.col("text").contains(hexes[0]) | F.col("text").contains(hexes[70][:18])).isEmpty()
 
 
+def test_every_value_of_a_word_is_a_candidate(spark):
+    rng = random.Random(8)
+    key, token, other = "AKIA" + "QWERTYUIOPASDFGH", "ghp_" + "a1B2c3D4" * 5, "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    web = ".".join(["eyJhbGciOiJIUzI1NiJ9", "eyJzdWIiOiI0MiJ9abc", "s5Bz0w_9-kQ2mX7c1LpT"])
+    texts = {1: f"id={key};token={token}", 2: f"https://example.org/some-long-path-of-words/x?token={token}",
+             3: f"Authorization: Bearer {web} end", 4: "password = Tr0ub4dor&3 ok", 5: 'pwd: "S3cr3t!pass", port 8080',
+             6: f"token = \"{other}\" ann@mail2.example.com", 7: f"example_token={other[::-1]}", 8: "the password: remember it well",
+             9: "internationalisierungen und password=changeme-please"}
+    frame = spark.createDataFrame([(i, t, "web") for i, t in texts.items()], "doc_id long, text string, source string")
+    found = secrets.scan(frame)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["_gl_row"].id, set()).add(r.value)
+    assert {key, token} <= got[1] and token in got[2] and web in got[3] and got[4] == {"Tr0ub4dor&3"}
+    assert got[5] == {"S3cr3t!pass"} and other in got[6] and not {7, 8, 9} & set(got)
+    clean = {r.doc_id: r.text for r in secrets.redact(frame, found).collect()}
+    assert clean[1] == "id=[secret];token=[secret]" and clean[4] == "password = [secret] ok"
+    assert clean[6] == 'token = "[secret]" ann@mail2.example.com' and clean[8] == texts[8]
+
+
 def test_secrets_of_awkward_rows(spark):
     assert secrets.scan(awkward(spark)).count() == 0
     assert secrets.scan(awkward(spark, table=False)).count() == 0
