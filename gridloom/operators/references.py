@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import match_key
+from gridloom.lineage import materialize
 from gridloom.operators import skew
 
 #: (entity, reference field, referenced entity)
@@ -56,7 +57,8 @@ def resolve_references(canonical: DataFrame, scope: Sequence[str] = ("session_id
     """Every reference with its target; target_record_id is null for an orphan."""
     refs = reference_rows(canonical, scope)
     on = (*scope, "target_type", "ref_key")
-    targets = skew.weighted(refs, target_keys(canonical, scope), on)
+    # both the heavy and the other keys are looked up in it
+    targets = materialize(skew.weighted(refs, target_keys(canonical, scope), on))
     return skew.lookup(refs, targets, on=on, take=("target_record_id", "target_external_id"),
                        weight="n_refs", spread_by=(F.col("record_id"), F.col("field")))
 
