@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from gridloom.lineage import materialize
 
-RUN = r"[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]{8,}){2,}|[A-Za-z0-9+/_\-]{16,}"
+RUN = r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{8,}+(?:\.[A-Za-z0-9_\-]{8,}+){2,}+|[A-Za-z0-9+/_\-]{16,}+"
 #: Times a word has to occur in the corpus to stand in the dictionary.
 OFTEN = 20
 _ROW = "_gl_row"
@@ -62,7 +62,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path
         F.transform("_words", lambda w, k: F.struct(
             k.alias("place"), w.alias("word"),
             F.concat_ws(" ", F.get("_words", k - 2), F.get("_words", k - 1)).alias("before"))),
-        lambda s: s["word"].rlike(rf"{RUN}|(?i){_NAME}[=:]") | s["before"].rlike(_ASSIGNMENT))))
+        # the cheap half of each test comes first, as most words fail it
+        lambda s: ((F.length(s["word"]) >= 16) & s["word"].rlike(RUN))
+        | ((s["word"].contains("=") | s["word"].contains(":")) & s["word"].rlike(rf"(?i){_NAME}[=:]"))
+        | (F.right(s["before"], F.lit(2)).rlike("[=:]") & s["before"].rlike(_ASSIGNMENT)))))
     next_word = F.when(F.col("before").rlike(_ASSIGNMENT), F.regexp_extract("word", _BARE_VALUE, 1)).otherwise("")
     values = F.array_distinct(F.concat(F.regexp_extract_all("word", F.lit(RUN), F.lit(0)),
                                        F.regexp_extract_all("word", F.lit(_ASSIGNED_VALUE), F.lit(1)), F.array(next_word)))
