@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import findings, fuzzy_match, skew
-from tests.support import duplicates_by_hand
+from tests.support import duplicates_by_hand, ratio
 
 SCHEMA = ("batch_id string, record_id string, row_ord bigint, entity_type string, key_email string,"
           " key_code string, key_name string")
@@ -101,3 +101,60 @@ def test_without_picks_either_way(spark, monkeypatch):
         monkeypatch.setattr(skew, "LIST_ROWS", bound)
         assert skew.without(rows, gone, "g").count() == 800
         assert {r.g for r in skew.without(rows, gone, "g", keep=True).collect()} == {3, 4}
+
+
+def _numbered(spark, texts):
+    return spark.createDataFrame([("b", "GUIDE", t, i, 1) for i, t in enumerate(texts)],
+                                 "batch_id string, entity_type string, name string, first_ord bigint, holders bigint")
+
+
+def _peers(names):
+    return {r.name: r.best_ord for r in fuzzy_match.earliest_similar(names).collect()}
+
+
+def _peers_by_hand(texts):
+    return {a: next((j for j, b in enumerate(texts[:i]) if ratio(a, b) >= 0.85), None) for i, a in enumerate(texts)}
+
+
+def test_texts_of_two_edits_are_found_without_comparing_pairs(spark, monkeypatch):
+    """A crowd of names that differ in a few letters: one row per way to leave letters out, not one per pair."""
+    rng = random.Random(3)
+    texts = list(dict.fromkeys(changed(rng, "".join(rng.choice("ab") for _ in range(rng.randint(6, 19)))) for _ in range(260)))
+    want = {k: v for k, v in _peers_by_hand(texts).items() if len(k) <= 19}
+    texts_of = fuzzy_match._sized(_numbered(spark, texts))
+    pairs = fuzzy_match._pattern_pairs(texts_of)
+    assert "levenshtein" not in pairs._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {r.later_ord: r.earlier_ord for r in pairs.collect()}
+    close = [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i])
+             if max(len(a), len(b)) <= 19 and ratio(a, b) >= 0.85]
+    earliest = {}
+    for i, j in close:
+        earliest[i] = min(j, earliest.get(i, j))
+    assert len(earliest) > 50 and got == earliest
+    assert {k: v for k, v in _peers(_numbered(spark, texts)).items() if len(k) <= 19} == want
+
+
+def test_a_crowd_ends_with_its_earliest_names(spark, monkeypatch):
+    """Names whose peer is among the first ones are not looked up by keys at all."""
+    monkeypatch.setattr(fuzzy_match, "KEY_PAIRS", 100)
+    monkeypatch.setattr(fuzzy_match, "EARLY", 4)
+    monkeypatch.setattr(fuzzy_match, "BLOCK", 16)
+
+    def no_keys(*_):
+        raise AssertionError("keys were asked")
+
+    monkeypatch.setattr(fuzzy_match, "_segment_pairs", no_keys)
+    texts = [f"https://one.example.net/en/{i:03d}/page.html" for i in range(120)]
+    assert _peers(_numbered(spark, texts)) == _peers_by_hand(texts)
+
+
+def test_names_without_a_place_and_names_that_share_one(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy_match, "KEY_PAIRS", 20)
+    monkeypatch.setattr(fuzzy_match, "EARLY", 2)
+    monkeypatch.setattr(fuzzy_match, "BLOCK", 4)
+    texts = [f"https://one.example.net/en/{i:03d}/page.html" for i in range(20)]
+    rows = [("b", "GUIDE", t, i // 2 if i else None, 1) for i, t in enumerate(texts)]
+    rows += [(None, "GUIDE", t, i, 1) for i, t in enumerate(texts)]
+    names = spark.createDataFrame(rows, "batch_id string, entity_type string, name string, first_ord bigint, holders bigint")
+    got = fuzzy_match.earliest_similar(names).filter("best_ord < first_ord").collect()
+    assert {(r.batch_id, r.name, r.best_ord) for r in got} == {("b", t, 0) for t in texts[2:]}
