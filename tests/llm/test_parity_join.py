@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from gridloom.llm import parity_join
 from tests.llm.support import awkward, edited, groups, invented, shingle_set
 
@@ -52,3 +54,15 @@ def test_long_words_and_parts(monkeypatch):
     whole = parity_join.word_hashes(text)
     monkeypatch.setattr(parity_join, "PART", 64)
     assert (parity_join.word_hashes(text) == whole).all()
+
+
+def test_sets_just_below_the_threshold_differ_in_their_sketches():
+    """Of sets of 300 with a likeness of 0.8 hardly a pair is left for the comparison of the sets."""
+    rng, left = np.random.default_rng(5), 0
+    for _ in range(100):
+        grams = rng.integers(0, 1 << 63, 333, np.uint64)
+        a, b = (parity_join.parity_bits(s) for s in (grams[:300], np.concatenate([grams[:267], grams[300:]])))
+        apart = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b, strict=True))
+        assert apart <= 66
+        left += apart * (100 + 85) <= (300 + 300) * (100 - 85)
+    assert left <= 5
