@@ -55,10 +55,12 @@ def target_keys(canonical: DataFrame, scope: Sequence[str]) -> DataFrame:
 
 def resolve_references(canonical: DataFrame, scope: Sequence[str] = ("session_id",)) -> DataFrame:
     """Every reference with its target; target_record_id is null for an orphan."""
-    refs = reference_rows(canonical, scope)
+    # counted by key and looked up
+    refs = materialize(reference_rows(canonical, scope))
     on = (*scope, "target_type", "ref_key")
+    named = canonical.filter(F.col("entity_type").isin(*sorted({target for _, _, target in REFERENCES})))
     # both the heavy and the other keys are looked up in it
-    targets = materialize(skew.weighted(refs, target_keys(canonical, scope), on))
+    targets = materialize(skew.weighted(refs, target_keys(named, scope), on))
     return skew.lookup(refs, targets, on=on, take=("target_record_id", "target_external_id"),
                        weight="n_refs", spread_by=(F.col("record_id"), F.col("field")))
 
