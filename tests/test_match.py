@@ -158,3 +158,21 @@ def test_names_without_a_place_and_names_that_share_one(spark, monkeypatch):
     names = spark.createDataFrame(rows, "batch_id string, entity_type string, name string, first_ord bigint, holders bigint")
     got = fuzzy_match.earliest_similar(names).filter("best_ord < first_ord").collect()
     assert {(r.batch_id, r.name, r.best_ord) for r in got} == {("b", t, 0) for t in texts[2:]}
+
+
+def test_the_earliest_names_are_met_a_few_at_a_time(spark, monkeypatch):
+    """Most names find their peer among the first few and are compared with no others."""
+    rng, heads = random.Random(5), []
+    texts = [f"supplier#{rng.randrange(10 ** 5):09d} mountain tours {rng.randrange(30)}" for _ in range(700)]
+    kept = fuzzy_match.materialize
+
+    def seen(frame):
+        out = kept(frame)
+        if "g0" in out.columns and "open" not in out.columns:
+            heads.append(out.count())
+        return out
+
+    monkeypatch.setattr(fuzzy_match, "materialize", seen)
+    names = list(dict.fromkeys(texts))
+    assert _peers(_numbered(spark, names)) == _peers_by_hand(names)
+    assert heads[0] == 4 and heads[1] <= 32
