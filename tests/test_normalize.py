@@ -7,6 +7,7 @@ from gridloom import model
 from gridloom.functions.coerce import cell_text, coerce, parse_date
 from gridloom.functions.similarity import similarity
 from gridloom.functions.text import file_stem, norm_header, safe_file_name
+from gridloom.plans import driver_inputs
 from gridloom.operators.normalize import header_key, normalize, normalized_counts, validation_items
 
 
@@ -119,3 +120,16 @@ def test_text_helpers(spark):
 def test_similarity(spark):
     df = spark.createDataFrame([("abc", "abc"), ("abc", "abd"), ("", "x")], "a string, b string")
     assert [r[0] for r in df.select(similarity(F.col("a"), F.col("b"))).collect()] == [1.0, 1 - 1 / 3, 0.0]
+
+
+def test_rows_of_one_file_are_normalised_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Also where only the faulty ones are wanted: none are picked out before the rows are dealt."""
+    spark.range(300).selectExpr("id AS s_suppkey", "concat('Supplier ', id) AS s_name", "cast(id % 25 AS int) AS s_nationkey") \
+        .coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    monkeypatch.setattr(driver_inputs, "TASK_ROWS", 50)
+    rows = normalize(driver_inputs.extracted(spark, str(tmp_path), driver_inputs.GUIDES), ("GUIDE",))
+    assert rows.rdd.getNumPartitions() == 6
+    assert rows.select("row_ord").distinct().count() == rows.count() == 300
+    faulty = rows.filter(F.size("validation_errors") > 0)
+    plan = faulty._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan and plan.index("Repartition") > plan.rindex("Filter")
