@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from gridloom.llm import fuzzy_lines, repeated_spans
+from gridloom.llm import fuzzy_lines, graph, repeated_spans
 from tests.llm.support import awkward, edited, groups, invented
 from tests.support import edit_distance
 
@@ -34,6 +34,41 @@ def test_edits_of_long_texts_are_bounded_as_by_the_distance():
     assert decided == {True, False}
 
 
+def test_texts_compared_side_by_side_are_decided_as_by_the_distance():
+    rng = random.Random(9)
+    pairs = [("same", "same"), ("", ""), ("", "a"), ("abcd" * 50, "abcd" * 60), ("😀" * 70 + "ab", "😀" * 70 + "cd")]
+    for _ in range(700):
+        line = "".join(rng.choice("abc é漢" + "😀" * rng.randint(0, 1)) for _ in range(rng.choice((1, 63, 64, 65, 90, 128, 129))))
+        other = list(line)
+        for _ in range(rng.randint(1, 14)):
+            at = rng.randrange(len(other) + 1)
+            other[at:at + rng.randint(0, 2)] = rng.choice(("", "a", "xy", "漢"))
+        pairs.append((line, "".join(other)))
+    a, b = map(list, zip(*pairs, strict=True))
+    exact = [edit_distance(x, y) for x, y in pairs]
+    for more in (-1, 0, 3):
+        most = [max(0, e + more) for e in exact]
+        assert fuzzy_lines.all_at_most(a, b, most) == [e <= m for e, m in zip(exact, most, strict=True)]
+
+
+def test_members_of_a_group_found_late_are_not_all_compared(spark):
+    """Of 200 members of a bucket the smallest is like none; the others are all alike but for the last one."""
+    keyed = spark.range(200).selectExpr("1L AS key", "id")
+    about, seen = spark.range(200).selectExpr("id", "id AS place"), []
+
+    def verify(pairs):
+        seen.append({(r.a, r.b) for r in pairs.collect()})
+        return pairs.where("a > 0 AND b < 199")
+
+    links = graph.link(keyed, about, lambda a, b: a("place") < 1000, verify)
+    found = {r.id: r.component for r in graph.components(links).collect()}
+    assert found == dict.fromkeys(range(1, 199), 1)
+    # every member meets the first ones, the one that is like none meets all
+    assert sum(map(len, seen)) < 200 * graph.GROWTH + 200 < 200 * 199 / 2
+    met = set().union(*seen)
+    assert len(met) == sum(map(len, seen)) and {(a, 199) for a in range(199)} <= met
+
+
 def compared(text):
     return [" ".join(line.split()) for line in (text or "").lower().split("\n")]
 
