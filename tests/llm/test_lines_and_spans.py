@@ -69,6 +69,46 @@ def test_members_of_a_group_found_late_are_not_all_compared(spark):
     assert len(met) == sum(map(len, seen)) and {(a, 199) for a in range(199)} <= met
 
 
+def test_pairs_given_up_early_are_decided_as_by_the_distance(monkeypatch):
+    """Long unlike lines, lines alike but for a stretch, moved text; few places for letters, so pairs are dealt again."""
+    rng = random.Random(11)
+    pairs = []
+    for _ in range(160):
+        line = "".join(rng.choice("abcdefgh ") for _ in range(rng.choice((63, 64, 65, 128, 200, 330))))
+        other = "".join(rng.choice("abcdefgh ") for _ in range(len(line)))
+        at, cut = rng.randrange(len(line)), rng.randrange(len(line) // 3 + 1)
+        pairs += [(line, other), (line, line[:at] + other[at:at + cut] + line[at + cut:]), (line, line[cut:] + line[:cut])]
+    a, b = map(list, zip(*pairs, strict=True))
+    exact = [edit_distance(x, y) for x, y in pairs]
+    for places in (fuzzy_lines.MARKS, 4096):
+        monkeypatch.setattr(fuzzy_lines, "MARKS", places)
+        for most in ([len(x) // 10 for x in a], exact, [max(0, e - 1) for e in exact]):
+            assert fuzzy_lines.all_at_most(a, b, most) == [e <= m for e, m in zip(exact, most, strict=True)]
+
+
+def test_buckets_whose_members_have_all_met_are_left(spark, monkeypatch):
+    """One bucket of 40 that are like none, 30 of 3 and 30 of 2: later steps take the large one only."""
+    sizes = {0: 40, **{k: 3 for k in range(1, 31)}, **{k: 2 for k in range(31, 61)}}
+    rows = [(key, 100 * key + i) for key, n in sizes.items() for i in range(n)]
+    keyed, seen, steps = spark.createDataFrame(rows, "key long, id long"), [], []
+    about = keyed.selectExpr("id", "id AS place")
+
+    def kept(frame, real=graph.materialize):
+        out = real(frame)
+        if "rank" in out.columns:
+            steps.append(out.count())
+        return out
+
+    def verify(pairs):
+        seen.extend((r.a, r.b) for r in pairs.collect())
+        return pairs.where("false")
+
+    monkeypatch.setattr(graph, "materialize", kept)
+    assert graph.link(keyed, about, lambda a, b: a("place") >= 0, verify).count() == 0
+    assert len(seen) == len(set(seen)) == 40 * 39 // 2 + 30 * 3 + 30
+    assert steps == [39 + 30 * 2, 39]
+
+
 def compared(text):
     return [" ".join(line.split()) for line in (text or "").lower().split("\n")]
 
