@@ -23,6 +23,8 @@ spread over many tasks, and every comparison that could matter is made.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -47,10 +49,14 @@ GROWTH = 8
 #: names every text meets first; most find their peer there and are spared the rest of the EARLY ones
 FIRST = EARLY // GROWTH ** 2
 #: the first names of a batch are met in growing steps while a step costs less than so many times EARLY comparisons a name
-STEP_WORK = 4
+STEP_WORK = 16
 #: times a longer text can carry one piece of a segment in its window (k + 1 places)
 REPEATS = int(SEGMENT_MAX * (1.0 - FUZZY_THRESHOLD)) + 1
 BLOCK = 1_000
+#: names of the early part that a block of other names meets in one task
+HEAD_BLOCK = 4_000
+#: how often a letter is counted in the bits that tell texts apart
+BAG_TIMES = 64
 NAMES_PER_PARTITION = 250
 MAX_PARTITIONS = 20_000
 
@@ -70,7 +76,8 @@ def earliest_similar(names: DataFrame) -> DataFrame:
     # Two sides of n names, the longer texts repeating a piece a few times: too few to crowd.
     roomy = stats["n"] ** 2 * REPEATS <= KEY_PAIRS
     parts = _join_partitions(names, stats["n"])
-    texts, found = _sized(names), None
+    cores = names.sparkSession.sparkContext.defaultParallelism
+    texts, found = _sized(names, None if roomy else max(cores, min(MAX_PARTITIONS, stats["n"] // HEAD_BLOCK))), None
     if not roomy:
         texts, found = _met_early(materialize(texts), stats["n"])
     if roomy or not texts.filter("open").isEmpty():
@@ -99,26 +106,53 @@ def _join_partitions(names: DataFrame, n: int) -> int:
     return max(cores, min(MAX_PARTITIONS, n // NAMES_PER_PARTITION))
 
 
-def _gram_bits(first: int) -> Column:
-    """Which letter pairs occur in a name, as 64 of 128 hashed bits."""
+def _grams() -> Column:
+    """The letter pairs of a name, hashed to 128 marks."""
+    return F.expr("transform(sequence(1, length(name) - 1), i -> pmod(xxhash64(substring(name, i, 2)), 128))")
+
+
+def _bag() -> Column:
+    """The letters of a name, one mark of 128 for each time a letter occurs."""
+    times = f"least(length(name) - length(replace(name, c, '')), {BAG_TIMES})"
+    return F.expr("flatten(transform(filter(array_distinct(split(name, '')), c -> c <> ''),"
+                  f" c -> transform(sequence(1, {times}), j -> pmod(xxhash64(c, j), 128))))")
+
+
+def _bits(marks: str, first: int) -> Column:
+    """Which marks there are, as 64 of 128 bits."""
     return F.expr(
-        "aggregate(transform(sequence(1, length(name) - 1), i -> pmod(xxhash64(substring(name, i, 2)), 128)),"
-        f" 0L, (acc, b) -> acc | if(b >= {first} and b < {first + 64}, shiftleft(1L, cast(b - {first} as int)), 0L))"
+        f"aggregate({marks}, 0L, (acc, b) -> acc |"
+        f" if(b >= {first} and b < {first + 64}, shiftleft(1L, cast(b - {first} as int)), 0L))"
     )
 
 
-def _near_bits(longer: Column) -> Column:
-    """An edit takes away or adds at most four letter pairs: a cheap test before the real one."""
-    differing = (F.bit_count(F.col("a_g0").bitwiseXOR(F.col("b_g0")))
-                 + F.bit_count(F.col("a_g1").bitwiseXOR(F.col("b_g1"))))
-    return differing <= 4 * edit_budget(longer)
+#: the bits of a text that tell most pairs apart before their edits are counted
+_BITS = ("g0", "g1", "c0", "c1")
+
+
+def _differing(*bits: str) -> Column:
+    one, two = (F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in bits)
+    return one + two
+
+
+def _near_bits(gap: Column, budget: Column) -> Column:
+    """Cheap tests before the real one.
+
+    A replaced letter takes away one letter and adds one, and one put in or taken out, of which there are at least as
+    many as the lengths differ by (`gap`), counts once. An edit takes away or adds at most four letter pairs.
+    """
+    return (_differing("c0", "c1") + gap <= 2 * budget) & (_differing("g0", "g1") <= 4 * budget)
+
+
+def _similar(a: str, b: str, budget: str, longer: str) -> str:
+    """Whether two texts are similar. -1, for more edits than the budget, turns into many: edits are counted once."""
+    return f"1.0D - pmod(levenshtein({a}, {b}, {budget}), {1 << 30}) / {longer} >= {FUZZY_THRESHOLD}D"
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
     """Keep similar pairs; `a` is the shorter text. Emits the later and the earlier place."""
     longer = F.length("b_name")
-    distance = F.expr("levenshtein(a_name, b_name, budget)")
-    similar = (distance >= 0) & ((1.0 - distance / longer) >= FUZZY_THRESHOLD)
+    similar = F.expr(_similar("a_name", "b_name", "budget", "length(b_name)"))
     return pairs.withColumn("budget", edit_budget(longer)).filter(similar).select(
         "batch_id", "entity_type",
         F.greatest("a_ord", "b_ord").alias("later_ord"),
@@ -131,16 +165,21 @@ def _verified(pairs: DataFrame) -> DataFrame:
 _OWN = ["batch_id", "entity_type"]
 
 
-def _sized(names: DataFrame) -> DataFrame:
-    """The names as texts: ord, len, letter pairs, n and lens (of the batch: names, lengths up to PATTERN_MAX)."""
+def _sized(names: DataFrame, parts: int | None = None) -> DataFrame:
+    """The names as texts: ord, len, bits of letters and their pairs, n and lens (of the batch: names, lengths up to PATTERN_MAX)."""
     length = F.length("name")
     sizes = names.groupBy(*_OWN).agg(
         F.count("*").alias("n"), F.collect_set(F.when(length <= PATTERN_MAX, length)).alias("lens"))
     spread = (F.col("name"), F.col("ord"))
     # nothing is earlier or later than a name without a place or a batch
     placed = names.dropna(subset=[*_OWN, "first_ord"])
-    texts = placed.select(*_OWN, "name", F.col("first_ord").alias("ord"), length.alias("len"),
-                          _gram_bits(0).alias("g0"), _gram_bits(64).alias("g1"))
+    if parts is not None:
+        # the marks of a text cost far more than its bytes tell
+        placed = placed.repartition(parts, "name")
+    marked = placed.select(*_OWN, "name", F.col("first_ord").alias("ord"), length.alias("len"),
+                           _grams().alias("_grams"), _bag().alias("_bag"))
+    texts = marked.select(*_OWN, "name", "ord", "len", _bits("_grams", 0).alias("g0"), _bits("_grams", 64).alias("g1"),
+                          _bits("_bag", 0).alias("c0"), _bits("_bag", 64).alias("c1"))
     return skew.lookup(texts, sizes, on=_OWN, take=("n", "lens"), weight="n", spread_by=spread).withColumn(
         "open", F.lit(True))
 
@@ -152,38 +191,47 @@ def _met_early(texts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     and so on: a peer found in one step is earlier than any of the steps to come.
     """
     key = [*_OWN, "ord"]
-    # names that share a place stay together
+    # names that share a place stay together; ranked once, as every step asks for a stretch of ranks
     rank = F.rank().over(Window.partitionBy(*_OWN).orderBy("ord"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("bigint")
-    parts = max(texts.sparkSession.sparkContext.defaultParallelism, min(MAX_PARTITIONS, n // BLOCK))
-    open_texts, found, done, size = texts, None, 0, FIRST
+    ranked = materialize(texts.withColumn("_rank", rank))
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    open_texts, found, done, size, left = texts, None, 0, FIRST, n
     while True:
-        head = texts.withColumn("_rank", rank).filter((F.col("_rank") <= size) & (F.col("_rank") > done))
-        head = materialize(head.drop("_rank", "open"))
-
-        def side(rows: DataFrame, p: str, block: Column) -> DataFrame:
-            shown = [F.col(c).alias(f"{p}_{c}") for c in ("name", "ord", "len", "g0", "g1")]
-            return rows.select(*_OWN, block.alias("_block"), *shown).repartition(parts, *_OWN, "_block")
-
-        a = side(open_texts, "a", F.pmod(F.xxhash64("name", "ord"), blocks))
-        b = side(head, "b", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-        longer = F.greatest("a_len", "b_len")
-        pairs = a.join(b, [*_OWN, "_block"]).withColumn("budget", edit_budget(longer)).filter(
-            (F.col("b_ord") < F.col("a_ord")) & (F.abs(F.col("a_len") - F.col("b_len")) <= F.col("budget"))
-            & _near_bits(longer))
-        distance = F.expr("levenshtein(a_name, b_name, budget)")
-        pairs = pairs.filter((distance >= 0) & ((1.0 - distance / longer) >= FUZZY_THRESHOLD))
-        met = materialize(pairs.groupBy(*_OWN, F.col("a_ord").alias("later_ord")).agg(
-            F.min("b_ord").alias("earlier_ord")))
+        head = materialize(ranked.filter((F.col("_rank") <= size) & (F.col("_rank") > done)).drop("_rank", "open"))
+        # Each block of open texts meets each block of the head: neither side is repeated more often than the other has blocks.
+        rows = F.ceil(F.least(F.col("n"), F.lit(left)) / BLOCK).cast("bigint")
+        cols = F.ceil(F.least(F.col("n"), F.lit(size - done)) / HEAD_BLOCK).cast("bigint")
+        parts = max(cores, min(MAX_PARTITIONS, math.ceil(left / BLOCK) * math.ceil(min(n, size - done) / HEAD_BLOCK)))
+
+        def side(some: DataFrame, p: str, own: Column, many: Column, x: str, y: str, parts: int = parts) -> DataFrame:
+            shown = [F.col(c).alias(f"{p}_{c}") for c in ("name", "ord", "len", *_BITS)]
+            shown.append(edit_budget(F.col("len")).alias(f"{p}_budget"))
+            every = F.explode(F.sequence(F.lit(0).cast("bigint"), many - 1)).alias(y)
+            return some.select(*_OWN, F.pmod(F.xxhash64("name", "ord"), own).alias(x), every, *shown).repartition(
+                parts, *_OWN, "_x", "_y")
+
+        a = side(open_texts, "a", rows, cols, "_x", "_y")
+        b = side(head, "b", cols, rows, "_y", "_x")
+        # the longer text has the larger budget
+        gap, budget, longer = F.abs(F.col("a_len") - F.col("b_len")), F.greatest("a_budget", "b_budget"), F.greatest("a_len", "b_len")
+        pairs = a.join(b, [*_OWN, "_x", "_y"]).filter(
+            (F.col("b_ord") < F.col("a_ord")) & (gap <= budget) & _near_bits(gap, budget))
+        # Edits are counted from the earliest name on, up to the first similar one.
+        near = pairs.groupBy(*_OWN, "_x", "_y", "a_ord", "a_name").agg(F.array_sort(F.collect_list(F.struct(
+            "b_ord", "b_name", budget.alias("budget"), longer.alias("longer")))).alias("near"))
+        first_near = F.expr("aggregate(near, cast(null as bigint), (acc, b) -> coalesce(acc,"
+                            f" if({_similar('a_name', 'b.b_name', 'b.budget', 'b.longer')}, b.b_ord, null)))")
+        met = materialize(near.select(*_OWN, F.col("a_ord").alias("later_ord"), first_near.alias("_first")).groupBy(
+            *_OWN, "later_ord").agg(F.min("_first").alias("earlier_ord")).filter("earlier_ord is not null"))
         found = met if found is None else found.unionByName(met)
         gone = met.select(*_OWN, F.col("later_ord").alias("ord")).unionByName(head.select(*key))
         open_texts = materialize(open_texts.join(gone, key, "left_anti"))
         done, size = size, size * GROWTH
         # what the next step would compare
-        left = open_texts.agg(F.count("*"), F.sum(F.least(F.lit(size), F.col("n")) - done)).first()
-        if not left[0] or left[1] > STEP_WORK * EARLY * n:
+        left, work = open_texts.agg(F.count("*"), F.sum(F.least(F.lit(size), F.col("n")) - done)).first()
+        if not left or work > STEP_WORK * EARLY * n:
             break
-    first = texts.withColumn("_rank", rank).filter(F.col("_rank") <= done).select(*key)
+    first = ranked.filter(F.col("_rank") <= done).select(*key)
     marked = open_texts.select(*key, "open")
     rest = texts.drop("open").join(first, key, "left_anti").join(marked, key, "left")
     return materialize(rest.withColumn("open", F.coalesce("open", F.lit(False)))), found
@@ -339,7 +387,7 @@ def _cut(texts: DataFrame, probe: bool) -> DataFrame:
     around = F.concat(F.substring("rest", F.lit(1), F.col("_at")),
                       F.substring("rest", F.col("_at") + F.col("_len") + 1, F.length("rest")))
     return cut.select(
-        "batch_id", "entity_type", "name", "ord", "open", "g0", "g1", "long_len", "short_len", "k",
+        "batch_id", "entity_type", "name", "ord", "open", *_BITS, "long_len", "short_len", "k",
         F.xxhash64("sig", "_i", piece).alias("sig"), around.alias("rest"),
     )
 
@@ -460,7 +508,7 @@ def _under(texts: DataFrame, signatures: DataFrame) -> DataFrame:
 
 def _join(short: DataFrame, long: DataFrame, on: list[str], parts: int) -> DataFrame:
     def side(rows: DataFrame, p: str, size: str) -> DataFrame:
-        bits = ["g0", "g1"] if "g0" in rows.columns else []
+        bits = _BITS if "g0" in rows.columns else ()
         own = ["batch_id", "entity_type", "name", "ord", *bits]
         return rows.select(
             *on, *[F.col(c).alias(f"{p}_{c}") for c in own], F.col(size).alias(f"{p}_len")
@@ -472,7 +520,7 @@ def _join(short: DataFrame, long: DataFrame, on: list[str], parts: int) -> DataF
         & ((F.col("a_len") < F.col("b_len")) | (F.col("a_ord") < F.col("b_ord")))
     )
     if "a_g0" in pairs.columns:
-        pairs = pairs.filter(_near_bits(F.col("b_len")))
+        pairs = pairs.filter(_near_bits(F.col("b_len") - F.col("a_len"), edit_budget(F.col("b_len"))))
     return pairs.withColumnsRenamed({"a_batch_id": "batch_id", "a_entity_type": "entity_type"})
 
 

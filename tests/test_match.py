@@ -176,3 +176,20 @@ def test_the_earliest_names_are_met_a_few_at_a_time(spark, monkeypatch):
     names = list(dict.fromkeys(texts))
     assert _peers(_numbered(spark, names)) == _peers_by_hand(names)
     assert heads[0] == 4 and heads[1] <= 32
+
+
+def test_letters_counted_tell_most_texts_apart(spark):
+    """The cheap tests let every similar pair through, and less than half of those that share most letter pairs."""
+    rng = random.Random(11)
+    hosts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(40)]
+    texts = [f"https://www.{rng.choice(hosts)}.example.net/en/{rng.randrange(10 ** 4)}{rng.choice(['', '/', '#top'])}" for _ in range(100)]
+    texts += [changed(rng, t) for t in texts[:60]] + ["ääéé", "ääéß", "a" * 90 + "b", "b" + "a" * 90, "𝄞𝄞𝄞𝄞𝄞𝄞𝄞", "𝄞𝄞𝄞𝄞𝄞𝄞x"]
+    texts = list(dict.fromkeys(texts))
+    sized = fuzzy_match._sized(_numbered(spark, texts))
+    a, b = (sized.select(*[F.col(c).alias(f"{p}_{c}") for c in ("name", "ord", "len", "g0", "g1", "c0", "c1")]) for p in "ab")
+    gap, budget = F.abs(F.col("a_len") - F.col("b_len")), fuzzy_match.edit_budget(F.greatest("a_len", "b_len"))
+    pairs = a.join(b, F.col("b_ord") < F.col("a_ord")).filter(gap <= budget)
+    near = {(r.a_name, r.b_name) for r in pairs.filter(fuzzy_match._near_bits(gap, budget)).collect()}
+    similar = {(x, y) for i, x in enumerate(texts) for y in texts[:i] if ratio(x, y) >= 0.85}
+    assert len(similar) > 60 and similar <= near
+    assert len(near) < 0.5 * pairs.filter(fuzzy_match._differing("g0", "g1") <= 4 * budget).count()
